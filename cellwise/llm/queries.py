@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellwise.llm.additive_model import quality_classifier
+from cellwise.llm.bpe_tree import encode_decode
+from cellwise.llm.packing import pack_documents
 from cellwise.llm.quality_rules import quality_rules
+from cellwise.llm.token_counts import length_histogram, token_lengths
 from cellwise.session import read_table
 
 
@@ -23,8 +27,23 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(token_lengths(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
