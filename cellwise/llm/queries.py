@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellwise.llm.additive_model import quality_classifier
 from cellwise.llm.bpe_tree import encode_decode
 from cellwise.llm.packing import pack_documents
 from cellwise.llm.quality_rules import quality_rules
 from cellwise.llm.token_counts import length_histogram, token_lengths
+from cellwise.llm.warc import archive_folder, read_archives, write_archives
 from cellwise.session import read_table
 
 
@@ -35,6 +37,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(read_table(spark, sf_dir, "pages"), archive_folder(spark))
+    page = lambda name: F.regexp_extract(name, r"^<urn:x-page:(-?\d+)>$", 1)
+    number = lambda name: F.when(page(name) != "", page(name).cast("long"))
+    records = read_archives(archives, with_payload=False).where("quarantined IS NULL")
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -43,8 +53,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+""",
+}
