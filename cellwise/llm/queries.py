@@ -13,6 +13,7 @@ from cellwise.llm.bpe_tree import encode_decode
 from cellwise.llm.ngram_join import ngram_jaccard_join
 from cellwise.llm.packing import pack_documents
 from cellwise.llm.quality_rules import quality_rules
+from cellwise.llm.substring import substring_dedup
 from cellwise.llm.token_counts import length_histogram, token_lengths
 from cellwise.llm.warc import archive_folder, read_archives, write_archives
 from cellwise.session import read_table
@@ -54,6 +55,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -80,6 +87,17 @@ links AS (
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id FROM s LEFT JOIN c ON s.doc_id = c.a
+""",
+    "op10_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS m FROM p),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY m) AS o FROM h),
+gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 50)) AS j FROM f WHERE o < doc_id) GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(words) AS n, coalesce(len(js), 0) AS r,
+  CASE WHEN js IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(js, x[2])), lambda x: x[1]) END AS kept
+  FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """,
     "op5_warc": """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
