@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellwise.llm.additive_model import quality_classifier
 from cellwise.llm.bpe_tree import encode_decode
+from cellwise.llm.cap_filters import embedding_near_dedup
 from cellwise.llm.ngram_join import ngram_jaccard_join
 from cellwise.llm.packing import pack_documents
 from cellwise.llm.quality_rules import quality_rules
@@ -25,6 +26,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_score")
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_classifier(docs, read_table(spark, sf_dir, "labels"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_cap_filters": op8_cap_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -98,6 +104,14 @@ k AS (SELECT w.doc_id, len(words) AS n, coalesce(len(js), 0) AS r,
   CASE WHEN js IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(js, x[2])), lambda x: x[1]) END AS kept
   FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+""",
+    "op8_cap_filters": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS m FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.95 * a.m * b.m AND a.m > 0 AND b.m > 0),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id, vec_id <= coalesce(c.m, vec_id) AS kept
+FROM v LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
 """,
     "op5_warc": """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
