@@ -3,7 +3,8 @@
 Filter directions are a random product code: a direction is one codeword from each block of coordinates. A vector is
 list-decoded to all directions whose inner product exceeds a threshold, without looking at all directions; vectors meet
 under a shared direction and are verified there in double precision. The threshold makes a filter hold about
-`bucket` of the vectors, and the code has as many directions as give a pair at the similarity `shared` common filters on average.
+`bucket` of the vectors, and the code has as many directions as give a pair at
+the similarity `shared` common filters on average.
 """
 
 from __future__ import annotations
@@ -60,24 +61,32 @@ def codebook(d: int, directions: int, seed: int = 7) -> list[tuple[slice, np.nda
     return out
 
 
-def decode(x: np.ndarray, threshold: float, directions: int) -> list[np.ndarray]:
-    """Numbers of all directions that exceed the threshold for each unit vector (a row of x), and the best direction in any case."""
+def decode(x: np.ndarray, threshold: float, directions: int, least: int = 32) -> list[np.ndarray]:
+    """Numbers of all directions that exceed the threshold for each unit vector (a row of x).
+
+    Where fewer than `least` do, the threshold is lowered for that vector until as many exceed it: such a vector's neighbours
+    have few as well, and would miss it.
+    """
     code = codebook(x.shape[1], directions)
     words, need = len(code[0][1]), threshold * np.sqrt(len(code))
     products = [x[:, at] @ c.T for at, c in code]
+    least = min(least, words ** len(code))
     out = []
     for i in range(len(x)):
+        limit, hit = need, np.empty(0, np.int64)
         if len(code) == 1:
             p = products[0][i]
-            hit = np.flatnonzero(p >= min(need, p.max()))
+            hit = np.flatnonzero(p >= min(limit, np.sort(p)[-least]))
         else:
             a, b, c = (p[i] for p in products)
-            limit = min(need, a.max() + b.max() + c.max() - 1e-12)
+            limit = min(limit, a.max() + b.max() + c.max())
             order = np.argsort(-c)
-            ra, rb = np.nonzero(a[:, None] + b[None, :] >= limit - c[order[0]])
-            n = np.searchsorted(-c[order], -(limit - a[ra] - b[rb]), side="right")
-            first = np.repeat((ra * words + rb) * words, n)
-            hit = first + order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            while len(hit) < least:
+                ra, rb = np.nonzero(a[:, None] + b[None, :] >= limit - c[order[0]])
+                n = np.searchsorted(-c[order], -(limit - a[ra] - b[rb]), side="right")
+                first = np.repeat((ra * words + rb) * words, n)
+                hit = first + order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                limit -= 0.03
         out.append(np.sort(hit))
     return out
 
