@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellwise.llm.additive_model import quality_classifier
 from cellwise.llm.bpe_tree import encode_decode
 from cellwise.llm.cap_filters import embedding_near_dedup
+from cellwise.llm.html_content import extract_content
 from cellwise.llm.ngram_join import ngram_jaccard_join
 from cellwise.llm.packing import pack_documents
 from cellwise.llm.quality_rules import quality_rules
@@ -26,6 +27,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_score")
 
 
+def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_content(read_table(spark, sf_dir, "pages"))
+
+
 def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(read_table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_html_content": op7_html_content,
     "op8_cap_filters": op8_cap_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
