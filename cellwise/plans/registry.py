@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellwise.plans import core
+from cellwise.plans import core, statistics
 
-QUERIES = dict(core.QUERIES)
-ORACLES = dict(core.ORACLES)
+QUERIES = core.QUERIES | statistics.QUERIES
+ORACLES = core.ORACLES | statistics.ORACLES
