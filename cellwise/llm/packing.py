@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellwise.llm.common import map_rows, texts_of
-from cellwise.llm.word_tokens import WordEncoder
+from cellwise.llm.word_tokens import word_encoder
 
 
 def binary_lengths(total: int, longest: int) -> list[int]:
@@ -37,7 +37,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, start, length, crc, tokens, ids = [], [], [], [], [], []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellwise.llm.common import map_rows, texts_of
-from cellwise.llm.word_tokens import WordEncoder
+from cellwise.llm.word_tokens import word_encoder
 
 #: Lengths are summed in blocks of this many, so that no window holds more than a block or the list of blocks.
 BLOCK = 1024
@@ -20,7 +20,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, text_column: str = "text") ->
     schema = T.StructType([T.StructField("n_tokens", T.LongType())])
 
     def make():
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         return lambda batch: pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encoder.encode(texts_of(batch.column("text")))], pa.int64())], names=["n_tokens"])
 
     return map_rows(source, make, schema, "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -71,3 +72,9 @@ class WordEncoder:
         split = [t.split() for t in texts]
         known = self.memory.fill((w for words in split for w in words), self._new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+@lru_cache(2)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker: later tasks find the words that earlier ones met."""
+    return WordEncoder(path)
