@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cellwise.llm.components import components
+from cellwise.operators.graph import components
 from cellwise.session import stored
 
 #: Members of a filter that are compared in one task at most (against as many); larger filters are dealt out in blocks.

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cellwise.llm.common import map_rows, slices, texts_of
-from cellwise.llm.components import components
+from cellwise.operators.graph import components
 from cellwise.llm.word_tokens import Memory
 from cellwise.session import stored
 
