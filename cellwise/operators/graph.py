@@ -47,12 +47,12 @@ def diffuse(edges: DataFrame, anchors: DataFrame, node: str, value: str, steps:
     edges are directed both ways. Each step is one join and one aggregation; every tenth is written to the shared folder.
     """
     nodes = edges.select(F.col("u").alias(node)).union(edges.select(F.col("v").alias(node))).union(anchors.select(node)).distinct()
-    fixed = anchors.select(node, F.col(value).cast("double").alias("_a"))
+    nodes = stored(nodes.join(anchors.select(node, F.col(value).cast("double").alias("_a")), node, "left"), "nodes")
     edges = stored(edges.select("u", "v"), "edges")
-    now = stored(nodes.join(fixed, node, "left").select(node, "_a", F.coalesce("_a", F.lit(0.0)).alias("x")), "values")
+    now = nodes.select(node, F.coalesce("_a", F.lit(0.0)).alias("x"))
     for step in range(1, steps + 1):
         mean = edges.join(now.select(F.col(node).alias("v"), "x"), "v").groupBy(F.col("u").alias(node)).agg(F.avg("x").alias("m"))
-        now = now.join(mean, node, "left").select(node, "_a", F.coalesce("_a", "m", "x").alias("x"))
+        now = nodes.join(mean, node, "left").select(node, F.coalesce("_a", "m", F.lit(0.0)).alias("x"))
         if step % 10 == 0:
             now = stored(now, "values")
     return now.select(node, F.col("x").alias(value))
