@@ -62,7 +62,7 @@ def parse(html: str) -> Dom:
         nonlocal links, unseen
         for _ in range(count):
             tag = stack[-1][0]
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in UNSEEN:
                 flush()
             links -= tag == "a"
             unseen -= tag in UNSEEN
@@ -104,6 +104,14 @@ def parse(html: str) -> Dom:
             stack.append((tag, stack[-1][1]))
             links += tag == "a"
             continue
+        if tag in RAW:
+            at = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at).end()
+            continue
+        if tag in UNSEEN:
+            if not m[3].endswith("/"):
+                stack.append((tag, stack[-1][1]))
+                unseen += 1
+            continue
         if tag in ("html", "body"):
             if tag == "body" and unseen and (n := depth_of("head", ())):
                 close(n)
@@ -117,15 +125,9 @@ def parse(html: str) -> Dom:
             close(n)
         flush()
         names = " ".join(v for n, *values in _ATTRIBUTE.findall(m[3]) if n.lower() in ("class", "id", "role") for v in values if v).lower() if m[3] else ""
-        node = stack[-1][1] if unseen or tag in UNSEEN else dom.add(stack[-1][1], tag, names)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-            at = end.end()
-            continue
-        stack.append((tag, node))
-        unseen += tag in UNSEEN
+        node = stack[-1][1] if unseen else dom.add(stack[-1][1], tag, names)
+        if tag not in VOID:
+            stack.append((tag, node))
     say(html[at:])
     close(len(stack) - 1)
     flush()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellwise.llm.common import map_rows, texts_of
-from cellwise.llm.text_stats import describe
+from cellwise.llm.text_stats import FEATURES, describe
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, only: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -34,5 +34,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, only: Column
         return one
 
     got = sorted(map_rows(texts, make, schema, "text").collect(), key=lambda r: (r.doc_id, r.features))
-    x = np.array([r.features for r in got]).reshape(len(got), -1)
+    x = np.array([r.features for r in got], float).reshape(len(got), len(FEATURES))
     return x, np.array([r.quality for r in got], float)
