@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions.hashing import hash_fraction, hash_modulo, hash_order
+from cellwise.session import forget, stored
 
 
 def top_by_hash(df: DataFrame, groups: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
@@ -81,9 +82,22 @@ def spread_picks(df: DataFrame, group: str, city: str, cell: list[str], order: l
 
 
 def greedy_cover(sets: DataFrame, candidate: str, item: str, budget: int) -> list[tuple[object, int]]:
-    """Greedy maximum coverage: (candidate, new items) until the budget or no gain; ties take the smallest candidate. Each step is one aggregation; only the winner comes to the driver."""
-    left, picked = sets.select(candidate, item).distinct().persist(), []
+    """Greedy maximum coverage: (candidate, new items) until the budget or no gain; ties take the smallest candidate.
+
+    A step is one aggregation and one anti-join, written to the shared folder; only the winner comes to the driver.
+    """
+    left, picked = stored(sets.select(candidate, item).distinct(), "cover"), []
     while len(picked) < budget and (best := left.groupBy(candidate).agg(F.count("*").alias("n")).orderBy(F.desc("n"), candidate).first()):
         picked.append((best[0], best[1]))
-        left = left.join(left.where(F.col(candidate) == F.lit(best[0])).select(item), item, "left_anti").persist()
+        rest = stored(left.join(left.where(F.col(candidate) == F.lit(best[0])).select(item), item, "left_anti"), "cover")
+        forget(left)
+        left = rest
     return picked
+
+
+def interleave(df: DataFrame, group: str, key: str, stripe: int) -> DataFrame:
+    """`position`: groups dealt out in stripes of rows, each stripe number in order of groups. Offsets come from the counts of (stripe, group), so only these pass through one task."""
+    r = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).withColumn("_s", F.floor(F.col("_i") / stripe))
+    counts = r.groupBy("_s", group).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_s", group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return r.join(counts.select("_s", group, before.alias("_o")), ["_s", group]).withColumn("position", F.col("_o") + F.col("_i") - F.col("_s") * stripe).drop("_i", "_s", "_o")

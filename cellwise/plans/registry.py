@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellwise.plans import core, statistics
+from cellwise.plans import core, reports, statistics
 
-QUERIES = core.QUERIES | statistics.QUERIES
-ORACLES = core.ORACLES | statistics.ORACLES
+QUERIES = core.QUERIES | statistics.QUERIES | reports.QUERIES
+ORACLES = core.ORACLES | statistics.ORACLES | reports.ORACLES
