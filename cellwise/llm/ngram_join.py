@@ -5,14 +5,16 @@ or in neighbouring bands. A pair of bands has a partition of the feature domain
 sets can differ in; each set gives one signature for every part that it touches (the subset of its features in
 that part), and two similar sets agree in a known number of parts at least (their touched parts less the
 largest possible difference). That number, less the parts whose signature is frequent, is what a candidate pair must
-reach. Sets that frequent signatures could hide entirely (members of large groups of near copies) are
-compared in a second pass, first with one set of each signature, then across the components that are still apart.
-Every candidate is verified on its texts.
+reach. Sets that frequent signatures could hide entirely get signatures of a finer partition, in which only sets that are
+mostly made of frequent parts (members of large groups of near copies) can stay hidden. These are compared round by
+round with one set of each signature, then across the components that are still apart. Every candidate is
+verified on its texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ WORDS = 5
 FREQUENT = 24
 #: Signatures of a bucket, about: what one reducing task holds at once.
 BUCKET = 1_000_000
+#: Rounds in which members of large groups meet one set of each signature.
+TURNS = 6
 #: Id lists up to this many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -52,9 +56,9 @@ def band_bounds(most: int) -> np.ndarray:
     return np.array(bounds + [bounds[-1] * 2], np.int64)
 
 
-def parts_of(low: np.ndarray) -> np.ndarray:
+def parts_of(low: np.ndarray, fine: bool = False) -> np.ndarray:
     """Parts of the domain for the pair of bands that begins at size `low`."""
-    return (11 * low) // 20 + 6
+    return 2 * low + 6 if fine else (11 * low) // 20 + 6
 
 
 class Shingler:
@@ -85,7 +89,7 @@ def class_key(elements: np.ndarray) -> int:
     return (xxhash.xxh64_intdigest(elements.tobytes()) >> 2 or 1) if len(elements) else 0
 
 
-def signatures(sets: list[np.ndarray], role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], role: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the nonempty `sets`, as members of the lower (0) or upper (1) band of a pair of bands: index of the set and signature,
     and (third) how many parts each set touches. Elements are sorted, so parts are runs of them."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -94,7 +98,7 @@ def signatures(sets: list[np.ndarray], role: int) -> tuple[np.ndarray, np.ndarra
     valid = (pair >= 0) & (sizes > 0)
     if not valid.any():
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(sets), np.int64)
-    parts = np.where(valid, parts_of(bounds[np.maximum(pair, 0)]), 0)
+    parts = np.where(valid, parts_of(bounds[np.maximum(pair, 0)], fine), 0)
     which = np.repeat(np.arange(len(sets)), np.where(valid, sizes, 0))
     elements = np.concatenate([s for s, v in zip(sets, valid) if v])
     part = ((elements >> np.uint64(32)) * parts[which].astype(np.uint64)) >> np.uint64(32)
@@ -104,13 +108,13 @@ def signatures(sets: list[np.ndarray], role: int) -> tuple[np.ndarray, np.ndarra
     return who, _mixed(sums + part[first] * _MIX[0] + pair[who].astype(np.uint64) * _MIX[2]), np.bincount(who, minlength=len(sets))
 
 
-def untouched(elements: np.ndarray, role: int) -> np.ndarray:
+def untouched(elements: np.ndarray, role: int, fine: bool = False) -> np.ndarray:
     """Signatures of the parts that a set does not touch, for sets that touched parts alone can't place."""
     bounds = band_bounds(len(elements))
     pair = int(np.searchsorted(bounds, len(elements), side="right")) - 1 - role
     if pair < 0:
         return np.empty(0, np.uint64)
-    parts = int(parts_of(bounds[pair]))
+    parts = int(parts_of(bounds[pair], fine))
     rest = np.setdiff1d(np.arange(parts, dtype=np.uint64), ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32))
     return _mixed(rest * _MIX[0] + np.uint64(pair) * _MIX[2] + _MIX[1])
 
@@ -126,7 +130,7 @@ def most_different(sizes: np.ndarray, role: int) -> np.ndarray:
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", T.LongType()), *(T.StructField(f"{x}{r}", T.LongType()) for r in (0, 1) for x in ("touched", "spare"))])
 
 
-def _describe(docs: DataFrame) -> DataFrame:
+def _describe(docs: DataFrame, fine: bool = False) -> DataFrame:
     """Per document: size and key of its set; for each role the touched parts, and these less the largest difference."""
 
     def make():
@@ -137,7 +141,7 @@ def _describe(docs: DataFrame) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             columns = [batch.column("doc_id"), n, np.array([class_key(s) for s in sets], np.int64)]
             for role in (0, 1):
-                touched = signatures(sets, role)[2]
+                touched = signatures(sets, role, fine)[2]
                 columns += [touched, np.where(touched > 0, touched - most_different(n, role), 1 << 30)]
             return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=SETS.names)
 
@@ -150,7 +154,7 @@ DEALT = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(n,
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
 
 
-def _deal(rows: DataFrame, buckets: int, everything: bool) -> DataFrame:
+def _deal(rows: DataFrame, buckets: int, fine: bool = False, everything: bool = False) -> DataFrame:
     """Signatures of (text, and with `everything` role flags and group), packed by bucket.
 
     Keys are doubled and the role is their lowest bit. Within a slice a set is dealt once; a signature that is frequent within a
@@ -188,12 +192,12 @@ def _deal(rows: DataFrame, buckets: int, everything: bool) -> DataFrame:
                 groups = np.array(part.column("component").to_pylist(), np.int64)[use] if everything else np.zeros(len(use), np.int64)
                 key, sig, group = [], [], []
                 for role in (0, 1):
-                    who, s, _ = signatures(sets, role)
+                    who, s, _ = signatures(sets, role, fine)
                     if everything:
                         on = flags[role][who] > 0
                         who, s = who[on], s[on]
                         for i in np.flatnonzero(flags[role] == 2):
-                            more = untouched(sets[i], role)
+                            more = untouched(sets[i], role, fine)
                             who, s = np.r_[who, np.full(len(more), i)], np.r_[s, more]
                     key.append(2 * keys[who] + role), sig.append(s), group.append(groups[who])
                 key, sig, group = map(np.concatenate, (key, sig, group))
@@ -271,16 +275,21 @@ def _rare_pairs(table: pa.Table) -> pa.Table:
     return _as_table(*(np.r_[x, y] for x, y in zip(pairs, (k, np.full(len(k), -1), c))))
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Of each signature, every set with the first set of role 0."""
-    _, key, _, edges = _joined(table)
-    sizes = np.diff(edges)
-    if not len(key):
-        return _as_table(key, key, key)
-    low = np.where(key & 1 == 0, key, np.iinfo(np.int64).max)
-    centre = np.repeat(np.minimum.reduceat(low, edges[:-1]), sizes)
-    on = (centre != np.iinfo(np.int64).max) & (centre != key)
-    return _as_table(*_counted(key[on], centre[on]))
+def _stars(turn: int):
+    """Of each signature, every set with one set of role 0 of another component: the first in an order that each turn draws anew."""
+
+    def stars(table: pa.Table) -> pa.Table:
+        _, key, group, edges = _joined(table)
+        if not len(key):
+            return _as_table(key, key, key)
+        rank = _mixed((key >> 1).astype(np.uint64) ^ np.uint64(turn)) >> np.uint64(1)
+        rank[key & 1 == 1] = np.iinfo(np.uint64).max
+        order = np.lexsort((rank, np.repeat(np.arange(len(edges) - 1), np.diff(edges))))
+        centre = np.repeat(order[edges[:-1]], np.diff(edges))
+        on = (key[centre] & 1 == 0) & (group[centre] != group)
+        return _as_table(*_counted(key[on], key[centre[on]]))
+
+    return stars
 
 
 def _across(table: pa.Table) -> pa.Table:
@@ -349,6 +358,33 @@ def _own_texts(rows: DataFrame) -> DataFrame:
     return map_rows(rows, make, rows.schema, "text")
 
 
+def _buckets(classes: DataFrame, fine: bool) -> int:
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return max(8, int(total * (1.5 if fine else 0.8)) // BUCKET)
+
+
+def _rare_matches(rows: DataFrame, classes: DataFrame, fine: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, n) with the number n of rare signatures that they share; and `classes` with the number of frequent signatures and a flag for each role.
+
+    The flag is 1 if frequent signatures could hide all of a set's links in that role, 2 if parts that it does not touch could.
+    """
+    dealt = _deal(rows, _buckets(classes, fine), fine)
+    met = stored(dealt.groupBy("bucket").applyInArrow(_rare_pairs, PAIRS), "met")
+    hot = met.where("b = -1").groupBy(F.shiftright("a", 1).alias("k")).agg(*(F.sum(F.when(F.col("a").bitwiseAND(1) == r, F.col("n"))).alias(f"hot{r}") for r in (0, 1)))
+    known = classes.join(hot, "k", "left").withColumns({f"hot{r}": F.coalesce(F.col(f"hot{r}"), F.lit(0)) for r in (0, 1)})
+    known = known.withColumns({f"open{r}": F.when(F.col(f"spare{r}") <= 0, 2).when(F.col(f"spare{r}") <= F.col(f"hot{r}"), 1).otherwise(0) for r in (0, 1)})
+    return met.where("b >= 0").groupBy("a", "b").agg(F.sum("n").alias("n")), stored(known, "known")
+
+
+def _enough(pairs: DataFrame, known: DataFrame, hot: bool) -> DataFrame:
+    """Pairs whose sizes allow the similarity and that share as many signatures as the smaller set (of role 0) must with so similar a set."""
+    side = lambda x: known.select(F.col("k").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "touched0", "hot0")))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    need = lambda x: F.col(f"touched0_{x}") - F.floor((F.col("n_a") + F.col("n_b")) / 7) - (F.col(f"hot0_{x}") if hot else 0)
+    small = F.when(F.col("n_a") <= F.col("n_b"), need("a")).otherwise(need("b"))
+    return rows.where((F.col("n") >= small) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).select("a", "b")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked with it, directly or through others).
 
@@ -362,68 +398,64 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
     described = stored(_describe(source), "sets")
     classes = stored(described.where("k <> 0 AND doc_id IS NOT NULL").groupBy("k").agg(
         F.min("doc_id").alias("rep"), *(F.max(c).alias(c) for c in ("n", "touched0", "spare0", "touched1", "spare1"))), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, int(total * 0.8) // BUCKET)
-
-    dealt = _deal(source.where("doc_id IS NOT NULL").select("text"), buckets, everything=False)
-    met = stored(dealt.groupBy("bucket").applyInArrow(_rare_pairs, PAIRS), "met")
-    frequent = met.where("b = -1").groupBy(F.shiftright("a", 1).alias("k"), F.col("a").bitwiseAND(1).alias("role")).agg(F.sum("n").alias("n"))
-    frequent = frequent.groupBy("k").agg(*(F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).alias(f"hot{r}") for r in (0, 1)))
-    known = classes.join(frequent, "k", "left").withColumns({f"hot{r}": F.coalesce(F.col(f"hot{r}"), F.lit(0)) for r in (0, 1)})
-    known = stored(known.withColumns({f"open{r}": F.when(F.col(f"spare{r}") <= 0, 2).when(F.col(f"spare{r}") <= F.col(f"hot{r}"), 1).otherwise(0) for r in (0, 1)}), "known")
-
-    def enough(pairs: DataFrame, hot: bool) -> DataFrame:
-        """Pairs with as many shared signatures as similar sets of their sizes must have. The smaller one has role 0, the larger role 1 if a band lies higher."""
-        side = lambda x: known.select(F.col("k").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "touched0", "touched1", "hot0", "hot1")))
-        rows = pairs.join(side("a"), "a").join(side("b"), "b")
-        differ = F.floor((F.col("n_a") + F.col("n_b")) / 7)
-        need = lambda x, r: F.col(f"touched{r}_{x}") - differ - (F.col(f"hot{r}_{x}") if hot else 0)
-        #: The role of the larger one follows from its band, which its size tells only here by the weaker of both needs.
-        small = F.when(F.col("n_a") <= F.col("n_b"), need("a", 0)).otherwise(need("b", 0))
-        return rows.where((F.col("n") >= small) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).select("a", "b")
-
-    first = stored(enough(met.where("b >= 0").groupBy("a", "b").agg(F.sum("n").alias("n")), hot=True), "pairs")
-    wanted = first.select(F.col("a").alias("k")).union(first.select(F.col("b").alias("k"))).union(known.where("open0 > 0 OR open1 > 0").select("k")).distinct()
-    wanted = stored(wanted.join(known.select("k", "rep", "n", "open0", "open1"), "k"), "wanted")
+    met, known = _rare_matches(source.where("doc_id IS NOT NULL").select("text"), classes, fine=False)
+    first = stored(_enough(met, known, hot=True), "pairs")
+    still = known.where("open0 > 0 OR open1 > 0").select("k")
+    wanted = first.select(F.col("a").alias("k")).union(first.select(F.col("b").alias("k"))).union(still).distinct()
+    wanted = stored(wanted.join(known.select("k", "rep", "open0", "open1"), "k"), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = stored(_own_texts(source.join(ids, source.doc_id == ids.rep).select("k", "rep", "open0", "open1", "text")).dropDuplicates(["k"]), "texts")
 
-    nodes = known.select("k", "rep")
+    hidden = texts.where("open0 > 0 OR open1 > 0").select("rep", "text")
+    finer = stored(_describe(hidden.select(F.col("rep").alias("doc_id"), "text"), fine=True).withColumnRenamed("doc_id", "rep"), "finer")
+    met, known = _rare_matches(hidden.select("text"), finer, fine=True)
+    first = stored(first.union(_enough(met, known, hot=True)).distinct(), "pairs")
+    large = stored(texts.select("k", "rep", "text").join(known.where("open0 > 0 OR open1 > 0").select("k", "open0", "open1"), "k"), "large")
+
+    nodes = classes.select("k", "rep")
     links: list[DataFrame] = []
 
+    def try_pairs(pairs: DataFrame) -> int:
+        links.append(stored(_similar(pairs, texts), "links"))
+        return links[-1].count()
+
     def component() -> DataFrame:
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
-        of = lambda x: nodes.select(F.col("k").alias(x), F.col("rep").alias({"a": "u", "b": "v"}[x]))
-        return components(edges.join(of("a"), "a").join(of("b"), "b").select("u", "v"))
+        edges = reduce(DataFrame.union, links)
+        of = lambda x, end: nodes.select(F.col("k").alias(x), F.col("rep").alias(end))
+        return components(edges.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v"))
+
+    def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        c = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("component", "rep").alias("c"))
-        rows = pairs.join(c.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b")
+        c = placed(nodes, found)
+        rows = pairs.join(c.select(F.col("k").alias("a"), F.col("component").alias("ca")), "a").join(c.select(F.col("k").alias("b"), F.col("component").alias("cb")), "b")
         return rows.where("ca <> cb").select("a", "b")
 
-    def try_pairs(pairs: DataFrame) -> None:
-        links.append(stored(_similar(pairs, texts), "links"))
-
-    # Pairs by rare signatures: each set with its first partner, then what is still apart.
+    # Each set with its first partner by rare signatures, then what is still apart, then the members of large groups.
     one = stored(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     try_pairs(one)
-    open_texts = texts.where("open0 > 0 OR open1 > 0")
-    more = open_texts.select("text", "open0", "open1", F.lit(0).cast("long").alias("component"))
-    stars = stored(_deal(more, buckets, everything=True).groupBy("bucket").applyInArrow(_stars, PAIRS), "stars")
-    stars = stored(enough(stars.groupBy("a", "b").agg(F.lit(1 << 40).alias("n")), hot=False), "stars")
-    try_pairs(stars.join(one, ["a", "b"], "left_anti"))
     found = component()
     try_pairs(apart(first.join(one, ["a", "b"], "left_anti"), found))
     found = component()
-    grouped = open_texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("text", "open0", "open1", F.coalesce("component", "rep").alias("component"))
-    rest = _deal(grouped, buckets, everything=True).groupBy("bucket").applyInArrow(_across, PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    rest = stored(enough(rest, hot=False).join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        try_pairs(rest)
-        found = component()
-    of_class = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("component", "rep").alias("component_id"))
+    members = large.count()
+    if members:
+        buckets = _buckets(finer, fine=True)
+
+        def meeting(how) -> DataFrame:
+            rows = placed(large, found).select("text", "open0", "open1", "component")
+            pairs = _deal(rows, buckets, fine=True, everything=True).groupBy("bucket").applyInArrow(how, PAIRS)
+            return stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "meeting")
+
+        for turn in range(TURNS):
+            new = try_pairs(_enough(meeting(_stars(turn)).withColumn("n", F.lit(1 << 40)), known, hot=False))
+            if new:
+                found = component()
+            if new * 50 < members:
+                break
+        if try_pairs(_enough(meeting(_across), known, hot=False)):
+            found = component()
+    of_class = placed(nodes, found).select("k", F.col("component").alias("component_id"))
     placed = described.where("k <> 0 AND doc_id IS NOT NULL").join(of_class, "k").select("doc_id", "n", "component_id")
     alone = described.where("k = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return placed.union(alone).withColumnRenamed("n", "n_shingles")
