@@ -287,4 +287,4 @@ def harmonic_diffusion(spark, d):
     """Values of every tenth event spread along the users' chains."""
     e = steps(spark, d).select("u", "v")
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return graph.diffuse(both, read_table(spark, d, "events").where("event_id % 10 = 0").select("event_id", "value"), "event_id", "value", 20)
+    return graph.diffuse(both, read_table(spark, d, "events").where("event_id % 10 = 0").select("event_id", "value"), "event_id", "value", 60)
