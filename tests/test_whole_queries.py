@@ -27,3 +27,18 @@ def test_harmonic_diffusion_makes_sixty_steps(spark, db):
     got = {r.event_id: r.value for r in QUERIES["harmonic_diffusion"](spark, TABLES).collect()}
     assert got.keys() == at.keys()
     assert [got[e] for e in at] == pytest.approx(list(x), abs=1e-9)
+
+
+def test_greedy_cover_covers_all_rows(spark, db):
+    left = {}
+    for unit, row in db.sql("SELECT DISTINCT p_brand, l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey").fetchall():
+        left.setdefault(unit, set()).add(row)
+    wanted = []
+    while len(wanted) < 10:
+        best = min(left, key=lambda u: (-len(left[u]), u))
+        if not left[best]:
+            break
+        gain = set(left[best])
+        wanted.append((best, len(gain)))
+        left = {u: rows - gain for u, rows in left.items()}
+    assert sorted(map(tuple, QUERIES["greedy_cover"](spark, TABLES).collect())) == sorted(wanted)
