@@ -259,14 +259,20 @@ def composition_log_ratio(spark, d):
 
 @query(None)
 def permutation_overlap(spark, d):
-    """How often two units share a row if one's rows are shuffled within cities: expected count and p of the five most frequent pairs."""
+    """How often two units share a row if one's rows are shuffled within cities: expected count, and p of 9,999 draws, of all pairs of units."""
     placed = rows(spark, d).select("row_id", "city")
-    top = ranking.top_k(pairs(spark, d).withColumn("g", F.lit(1)), ["g"], [F.desc("n"), F.col("a"), F.col("b")], 5).select("a", "b", "n")
-    has = unit_presence(spark, d)
-    of = lambda x: placed.join(F.broadcast(top.select(x).distinct())).join(has.withColumnRenamed("unit", x).withColumn("_h", F.lit(1)), ["row_id", x], "left").select("row_id", "city", x, F.coalesce("_h", F.lit(0)).alias(f"h{x}"))
-    null = inference.shuffled_within(of("b"), ["city", "b"], "row_id", "hb", 39)
-    counts = null.where("hb = 1").join(of("a").where("ha = 1").select("row_id", "a"), "row_id").join(F.broadcast(top), ["a", "b"]).groupBy("a", "b", "n", "rep").agg(F.count("*").alias("m"))
-    return counts.groupBy("a", "b", "n").agg(F.avg("m").alias("expected"), inference.plus_one_p(F.col("n"), F.col("m")).alias("p"))
+    has = unit_presence(spark, d).join(placed, "row_id")
+    strata = has.groupBy("city", "unit").agg(F.count("*").alias("k")).join(F.broadcast(placed.groupBy("city").agg(F.count("*").alias("size"))), "city")
+    of = lambda x: strata.select("city", F.col("unit").alias(x), F.col("k").alias(f"k{x}"))
+    by = of("a").join(of("b").join(strata.select("city", "size").distinct(), "city"), "city").where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("city", "size", "ka", "kb"))).alias("s"))
+    units = has.select("unit").distinct()
+    every = units.withColumnRenamed("unit", "a").join(units.withColumnRenamed("unit", "b"), F.col("a") < F.col("b")).join(by, ["a", "b"], "left")
+    every = every.join(association.cooccurrence(has, "row_id", "unit").select("a", "b", "n"), ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # Dealt by a number of its own: AQE would join so few rows into one task, and the draws are what takes time.
+    every = every.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "a", "b")
+    values = lambda x: F.coalesce(F.transform("s", lambda y: y[x]), F.array().cast("array<bigint>"))
+    expected = F.coalesce(F.aggregate("s", F.lit(0.0), lambda e, y: e + y["ka"] * y["kb"] / y["size"]), F.lit(0.0))
+    return every.select("a", "b", "n", expected.alias("expected"), inference.overlap_p(9_999)(F.concat_ws("/", "a", "b"), values("size"), values("ka"), values("kb"), F.col("n")).alias("p"))
 
 
 @query(None)

@@ -1,5 +1,8 @@
 """Registered queries without SQL against brute force over the whole of the smallest tables."""
 
+from itertools import combinations
+from math import comb, sqrt
+
 import numpy as np
 import pytest
 from oracle import TABLES, database
@@ -42,3 +45,36 @@ def test_greedy_cover_covers_all_rows(spark, db):
         wanted.append((best, len(gain)))
         left = {u: rows - gain for u, rows in left.items()}
     assert sorted(map(tuple, QUERIES["greedy_cover"](spark, TABLES).collect())) == sorted(wanted)
+
+
+def test_permutation_overlap_tests_all_pairs(spark, db):
+    city = dict(db.sql("SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey").fetchall())
+    held = {}
+    for unit, row in db.sql("SELECT DISTINCT p_brand, l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey").fetchall():
+        held.setdefault(unit, set()).add(row)
+    by = {}
+    for row, c in city.items():
+        by.setdefault(c, set()).add(row)
+    got = {(r.a, r.b): r for r in QUERIES["permutation_overlap"](spark, TABLES).collect()}
+    assert got.keys() == set(combinations(sorted(held), 2))
+    for (a, b), r in got.items():
+        exact, expected = np.ones(1), 0.0
+        for rows in by.values():
+            n, k, m = len(rows), len(rows & held[a]), len(rows & held[b])
+            exact = np.convolve(exact, [comb(k, x) * comb(n - k, m - x) / comb(n, m) for x in range(min(k, m) + 1)])
+            expected += k * m / n
+        tail = min(1.0, exact[r.n :].sum())
+        assert r.n == len(held[a] & held[b] & city.keys())
+        assert r.expected == pytest.approx(expected, abs=1e-9)
+        assert r.p == pytest.approx(tail, abs=5 * sqrt(tail * (1 - tail) / 9999) + 5e-4)
+    assert min(r.p for r in got.values()) < 1 / 40
+
+
+def test_overlap_p_counts_empty_draws(spark):
+    from pyspark.sql import functions as F
+
+    from cellwise.operators import inference
+
+    d = spark.createDataFrame([("rare", [1000], [1], [1], 1), ("never", [], [], [], 0)], "k string, n array<long>, a array<long>, b array<long>, x long")
+    p = {r.k: r.p for r in d.select("k", inference.overlap_p(9_999)(*(F.col(c) for c in ("k", "n", "a", "b", "x"))).alias("p")).collect()}
+    assert p["never"] == 1 and p["rare"] == pytest.approx(0.001, abs=0.002)
