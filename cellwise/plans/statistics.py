@@ -156,6 +156,22 @@ def transitive_reduction(spark, d):
     return graph.transitive_reduction(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (1, 4), (5, 4)], "u int, v int"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS u, vec_id + 1 + vec_id % 5 AS v FROM embeddings), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r(n, m) AS (SELECT u, u FROM b UNION SELECT b.v, r.m FROM r JOIN b ON b.u = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY 1""", base=False)
+def embedding_components(spark, d):
+    """Components of the graph of all embeddings; connected_components, whose SQL stays as it is, leaves a third out."""
+    return graph.components(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("u"), (F.col("vec_id") + 1 + F.col("vec_id") % 5).alias("v")))
+
+
+@query(", e AS (SELECT x.row_id, x.item AS u, y.item AS v FROM acts x JOIN acts y ON x.row_id = y.row_id AND x.item < y.item AND x.v < y.v) SELECT row_id || '/' || u AS u, row_id || '/' || v AS v FROM e WHERE NOT EXISTS (SELECT 1 FROM e f JOIN e g ON f.row_id = g.row_id AND f.v = g.u WHERE f.row_id = e.row_id AND f.u = e.u AND g.v = e.v)")
+def dominance_reduction(spark, d):
+    """In each row an item leads to all of larger number and larger value: the edges that none in between replaces."""
+    has = acts(spark, d)
+    of = lambda x: has.select("row_id", F.concat_ws("/", F.col("row_id").cast("string"), F.col("item").cast("string")).alias(x), F.col("item").alias(f"_i{x}"), F.col("v").alias(f"_v{x}"))
+    edges = of("u").join(of("v"), "row_id").where("_iu < _iv AND _vu < _vv").select("u", "v")
+    return graph.transitive_reduction(edges)
+
+
 @query(""", v AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 s AS (SELECT 0 AS view, a.label, a.vec_id AS l, b.vec_id AS r, list_cosine_similarity(a.e[1:32], b.e[1:32]) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id UNION ALL SELECT 1, a.label, a.vec_id, b.vec_id, list_cosine_similarity(a.e[33:64], b.e[33:64]) FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
 k AS (SELECT view, l, r, 1 - (row_number() OVER (PARTITION BY view, l ORDER BY s DESC, r) - 1) / 5 AS sc, row_number() OVER (PARTITION BY view, l ORDER BY s DESC, r) AS rk FROM s)

@@ -78,3 +78,23 @@ def test_overlap_p_counts_empty_draws(spark):
     d = spark.createDataFrame([("rare", [1000], [1], [1], 1), ("never", [], [], [], 0)], "k string, n array<long>, a array<long>, b array<long>, x long")
     p = {r.k: r.p for r in d.select("k", inference.overlap_p(9_999)(*(F.col(c) for c in ("k", "n", "a", "b", "x"))).alias("p")).collect()}
     assert p["never"] == 1 and p["rare"] == pytest.approx(0.001, abs=0.002)
+
+
+def test_graph_queries_use_all_rows(spark, db):
+    ids = {x for (x,) in db.sql("SELECT vec_id FROM embeddings").fetchall()}
+    assert ids <= {r.node for r in QUERIES["embedding_components"](spark, TABLES).collect()}
+    held = {}
+    for row, item, v in db.sql("SELECT l_orderkey, l_partkey, sum(l_quantity) FROM lineitem GROUP BY ALL").fetchall():
+        held.setdefault(row, []).append((item, v))
+    less = lambda x, y: x[0] < y[0] and x[1] < y[1]
+    wanted = {(f"{row}/{x[0]}", f"{row}/{y[0]}") for row, xs in held.items() for x in xs for y in xs if less(x, y) and not any(less(x, z) and less(z, y) for z in xs)}
+    got = QUERIES["dominance_reduction"](spark, TABLES).collect()
+    assert len(got) == len(wanted) and {(r.u, r.v) for r in got} == wanted
+
+
+def test_transitive_reduction_of_a_long_path_with_shortcuts(spark):
+    from cellwise.operators import graph
+
+    edges = [(i, i + 1) for i in range(20)] + [(0, 20), (3, 9), (5, 7), (2, 100)]
+    got = graph.transitive_reduction(spark.createDataFrame(edges, "u int, v int")).collect()
+    assert {(r.u, r.v) for r in got} == {*edges[:20], (2, 100)}
