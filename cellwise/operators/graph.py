@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cellwise.session import forget, stored
 
+#: Edge lists up to this many rows are finished by one task (two numbers a row); larger ones go on in rounds.
+ONE_TASK = 1_000_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -21,24 +30,53 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _finish(edges: DataFrame) -> DataFrame:
+    """Components of an edge list whose size has been checked, in one task: hooking and pointer jumping."""
+    kind = edges.schema["u"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("component", kind)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), to_arrow_schema(edges_schema))
+        if not table.num_rows:
+            return
+        ends = [table.column(c).to_numpy() for c in ("u", "v")]
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        u, v = at[: len(ends[0])], at[len(ends[0]) :]
+        root = np.arange(len(nodes))
+        while True:
+            low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+            on = low != high
+            if not on.any():
+                break
+            np.minimum.at(root, high[on], low[on])
+            while (root[root] != root).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(x, arrow.field(0).type) for x in (nodes, nodes[root])], schema=arrow)
+
+    edges_schema = edges.select("u", "v").schema
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (u, v): component is the smallest node that it reaches.
 
     Edges with a null end or equal ends are left out. Minima combine before each shuffle; each round is written
-    to the shared folder; rounds grow with the logarithm of the longest path. An empty list gives an empty result.
+    to the shared folder; rounds grow with the logarithm of the longest path, and end early where at most ONE_TASK edges
+    are left. An empty list gives an empty result.
     """
     edges = stored(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "edges")
-    mark = None
-    while True:
+    mark, left = None, edges.count()
+    while left > ONE_TASK:
         new = stored(_small_star(_large_star(edges)), "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(edges)
-        edges = new
+        edges, left = new, now[0]
         if now == mark:
-            break
+            stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         mark = now
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return _finish(edges)
 
 
 def diffuse(edges: DataFrame, anchors: DataFrame, node: str, value: str, steps: int) -> DataFrame:
