@@ -1,19 +1,23 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets are dealt into size bands whose bounds grow by 4/3, so sets with a Jaccard similarity of 3/4 or more lie in the same
-or in neighbouring bands. A pair of bands has a partition of the feature domain into more parts than two such
-sets can differ in; each set gives one signature for every part that it touches (the subset of its features in
-that part), and two similar sets agree in a known number of parts at least (their touched parts less the
-largest possible difference). That number, less the parts whose signature is frequent, is what a candidate pair must
-reach. Sets that frequent signatures could hide entirely get signatures of a finer partition, in which only sets that are
-mostly made of frequent parts (members of large groups of near copies) can stay hidden. These are compared round by
-round with one set of each signature, then across the components that are still apart. Every candidate is
-verified on its texts.
+or in neighbouring bands. A pair of bands has a partition of the feature domain in two levels: `parts` parts of
+three subparts each, and a set has a signature for every subset of two subparts of every part (its features in them).
+Two similar sets differ in a known number of features at most, each of which can spoil two signatures of its part
+the first time and one more after, so they share a known number of signatures. A candidate pair must reach that
+number, less the signatures that are empty or frequent.
+
+Sets whose links frequent signatures could hide ("open" sets: members of large groups, and texts that are mostly
+common passages) are compared further by their features. Features that few open sets have are enumerated, the
+frequent ones only counted: what two sets have in common is at most the rare features that they share and the smaller number
+of frequent ones. Pairs that pass this bound are candidates. Pairs without a common rare feature can only be linked if
+both sets consist of frequent features almost entirely ("core" sets); these meet under their signatures again, first each
+with one central set, then with what is still apart and passes the bound. Every candidate is verified on its texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,27 +29,48 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cellwise.llm.common import map_rows, slices, texts_of
+from cellwise.llm.word_hashes import mixed, word_hashes
 from cellwise.operators.graph import components
-from cellwise.llm.word_tokens import Memory
 from cellwise.session import stored
 
 WORDS = 5
-#: A signature that more sets than this share is frequent.
+#: A signature or feature that more sets than this share is frequent.
 FREQUENT = 24
-#: Signatures of a bucket, about: what one reducing task holds at once.
-BUCKET = 1_000_000
-#: Rounds in which members of large groups meet one set of each signature.
-TURNS = 6
+#: Entries of a bucket, about: what one reducing task holds at once.
+BUCKET = 2_000_000
+#: Rounds in which core sets meet one central set of each signature.
+TURNS = 3
 #: Id lists up to this many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX[3]
-    x = (x ^ (x >> np.uint64(29))) * _MIX[1]
-    return x ^ (x >> np.uint64(32))
+_NONE = np.empty(0, np.int64)
+
+
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the 5-word shingles of all texts (A-Z lower-cased), one text after another, and where each text's begin."""
+    h, _, _, of_text, _ = word_hashes([t.lower() for t in texts])
+    words = np.diff(of_text)
+    n = np.where(words >= WORDS, words - WORDS + 1, np.minimum(words, 1))
+    first = np.r_[0, np.cumsum(n)]
+    flat = np.empty(first[-1], np.uint64)
+    runs = len(h) - WORDS + 1
+    g = mixed(sum((h[i : i + runs] * _MIX[i] for i in range(1, WORDS)), h[:runs] * _MIX[0])) if runs > 0 else h[:0]
+    for w, a, b, count in zip(of_text.tolist(), first.tolist(), first[1:].tolist(), words.tolist()):
+        if count >= WORDS:
+            flat[a:b] = np.sort(g[w : w + count - WORDS + 1])
+        elif count:
+            flat[a] = mixed((h[w : w + count] * _MIX[:count]).sum(dtype=np.uint64, keepdims=True) + np.uint64(count))[0]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[first[:-1][n > 0]] = True
+    return flat[new], np.r_[0, np.cumsum(new)][first]
+
+
+def class_keys(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 62-bit key of each set, 0 for the empty set."""
+    raw = flat.data.cast("B") if len(flat) else b""
+    return np.array([(xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) >> 2 or 1) if b > a else 0 for a, b in zip(first.tolist(), first[1:].tolist())], np.int64)
 
 
 def band_bounds(most: int) -> np.ndarray:
@@ -56,262 +81,333 @@ def band_bounds(most: int) -> np.ndarray:
     return np.array(bounds + [bounds[-1] * 2], np.int64)
 
 
-def parts_of(low: np.ndarray, fine: bool = False) -> np.ndarray:
-    """Parts of the domain for the pair of bands that begins at size `low`."""
-    return 2 * low + 6 if fine else (11 * low) // 20 + 6
-
-
-class Shingler:
-    """Sorted distinct 64-bit hashes of the 5-word shingles of texts, with A-Z lower-cased."""
-
-    def __init__(self, remember: int = 200_000) -> None:
-        self.memory = Memory(remember)
-
-    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.lower().split() for t in texts]
-        known = self.memory.fill((w for words in split for w in words), lambda new: map(xxhash.xxh64_intdigest, new))
-        out = []
-        for words in split:
-            n = len(words)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-            if n >= WORDS:
-                h = sum((h[i : n - WORDS + 1 + i] * _MIX[i] for i in range(1, WORDS)), h[: n - WORDS + 1] * _MIX[0])
-                out.append(np.unique(_mixed(h)))
-            elif n:
-                out.append(_mixed((h * _MIX[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
-            else:
-                out.append(h)
-        return out
+def parts_of(low: np.ndarray) -> np.ndarray:
+    """First-level parts of the domain for the pair of bands that begins at size `low`; each has three subparts."""
+    return low // 4 + 4
 
 
-def class_key(elements: np.ndarray) -> int:
-    """A 62-bit key of a set, 0 for the empty set."""
-    return (xxhash.xxh64_intdigest(elements.tobytes()) >> 2 or 1) if len(elements) else 0
+def shared_at_least(parts: np.ndarray, different: np.ndarray) -> np.ndarray:
+    """Signatures, empty ones included, that two sets share which differ in so many features: the first difference in
+    a part spoils two of its three, a second one in another subpart the last."""
+    return np.maximum(3 * parts - 2 * different, 2 * parts - different)
 
 
-def signatures(sets: list[np.ndarray], role: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the nonempty `sets`, as members of the lower (0) or upper (1) band of a pair of bands: index of the set and signature,
-    and (third) how many parts each set touches. Elements are sorted, so parts are runs of them."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+def pair_of_bands(sizes: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pair of bands in which a set is in the lower (0) or upper (1) one, or -1; and its parts (0 for none)."""
     bounds = band_bounds(int(sizes.max(initial=1)))
-    pair = np.searchsorted(bounds, sizes, side="right") - 1 - role
-    valid = (pair >= 0) & (sizes > 0)
-    if not valid.any():
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(sets), np.int64)
-    parts = np.where(valid, parts_of(bounds[np.maximum(pair, 0)], fine), 0)
-    which = np.repeat(np.arange(len(sets)), np.where(valid, sizes, 0))
-    elements = np.concatenate([s for s, v in zip(sets, valid) if v])
-    part = ((elements >> np.uint64(32)) * parts[which].astype(np.uint64)) >> np.uint64(32)
-    first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (which[1:] != which[:-1])])
-    sums = np.add.reduceat(_mixed(elements ^ _MIX[4]), first)
-    who = which[first]
-    return who, _mixed(sums + part[first] * _MIX[0] + pair[who].astype(np.uint64) * _MIX[2]), np.bincount(who, minlength=len(sets))
-
-
-def untouched(elements: np.ndarray, role: int, fine: bool = False) -> np.ndarray:
-    """Signatures of the parts that a set does not touch, for sets that touched parts alone can't place."""
-    bounds = band_bounds(len(elements))
-    pair = int(np.searchsorted(bounds, len(elements), side="right")) - 1 - role
-    if pair < 0:
-        return np.empty(0, np.uint64)
-    parts = int(parts_of(bounds[pair], fine))
-    rest = np.setdiff1d(np.arange(parts, dtype=np.uint64), ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32))
-    return _mixed(rest * _MIX[0] + np.uint64(pair) * _MIX[2] + _MIX[1])
+    pair = np.where(sizes > 0, np.searchsorted(bounds, sizes, side="right") - 1 - role, -1)
+    return pair, np.where(pair >= 0, parts_of(bounds[np.maximum(pair, 0)]), 0)
 
 
 def most_different(sizes: np.ndarray, role: int) -> np.ndarray:
-    """Elements in which a set of this size and role can differ from a similar one at most: a seventh of both sizes."""
+    """Features in which a set of this size and role can differ from a similar one at most: a seventh of both sizes."""
     bounds = band_bounds(int(sizes.max(initial=1)))
     pair = np.maximum(np.searchsorted(bounds, sizes, side="right") - 1 - role, 0)
     partner = np.minimum(4 * sizes // 3, bounds[pair + 2] - 1) if role == 0 else bounds[pair + 1] - 1
     return (sizes + partner) // 7
 
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", T.LongType()), *(T.StructField(f"{x}{r}", T.LongType()) for r in (0, 1) for x in ("touched", "spare"))])
-
-
-def _describe(docs: DataFrame, fine: bool = False) -> DataFrame:
-    """Per document: size and key of its set; for each role the touched parts, and these less the largest difference."""
+def signatures(flat: np.ndarray, first: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the set and signature, for all that are not empty, in the order of the sets; and how many each set has."""
+    sizes = np.diff(first)
+    pair, parts = pair_of_bands(sizes, role)
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    on = parts[which] > 0
+    which, elements = which[on], flat[on]
+    if not len(which):
+        return _NONE, _NONE.view(np.uint64), np.zeros(len(sizes), np.int64)
+    cells = np.r_[0, np.cumsum(3 * parts)]
+    cell = (((elements >> np.uint64(32)) * (3 * parts)[which].astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + cells[which]
+    begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sums, has = np.zeros(cells[-1], np.uint64), np.zeros(cells[-1], np.int8)
+    sums[cell[begin]] = np.add.reduceat(mixed(elements ^ _MIX[4]), begin)
+    has[cell[begin]] = 1
+    sums, has = sums.reshape(-1, 3), has.reshape(-1, 3)
+    there = (has.sum(1, keepdims=True) - has > 0).ravel()
+    owner = np.repeat(np.arange(len(sizes)), 3 * parts)[there]
+    place = (np.arange(len(there)) - np.repeat(cells[:-1], 3 * parts)).astype(np.uint64)[there]
+    sums = (sums.sum(1, keepdims=True) - sums).ravel()[there]
+    return owner, mixed(sums + place * _MIX[0] + pair[owner].astype(np.uint64) * _MIX[2]), np.bincount(owner, minlength=len(sizes))
+
+
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(x, T.LongType()) for x in ("n", "k", "parts", "empty", "spare0", "spare1"))])
+
+
+def _describe(docs: DataFrame) -> DataFrame:
+    """Per document: size and key of its set; parts and empty signatures in the lower band; and for each role the signatures that are
+    not empty and that the least similar partner must share."""
 
     def make():
-        shingler = Shingler()
-
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingler.sets(texts_of(batch.column("text")))
-            n = np.array([len(s) for s in sets], np.int64)
-            columns = [batch.column("doc_id"), n, np.array([class_key(s) for s in sets], np.int64)]
+            flat, first = shingle_sets(texts_of(batch.column("text")))
+            n = np.diff(first)
+            columns, spare = [n, class_keys(flat, first)], []
             for role in (0, 1):
-                touched = signatures(sets, role, fine)[2]
-                columns += [touched, np.where(touched > 0, touched - most_different(n, role), 1 << 30)]
-            return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=SETS.names)
+                parts = pair_of_bands(n, role)[1]
+                empty = 3 * parts - signatures(flat, first, role)[2]
+                columns += [parts, empty] if role == 0 else []
+                spare.append(np.where(parts > 0, shared_at_least(parts, most_different(n, role)) - empty, 1 << 30))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns + spare)], names=SETS.names)
 
         return one
 
     return map_rows(docs, make, SETS, "text")
 
 
-DEALT = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("keys", "counts", "signatures", "groups"))])
-PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
+DEALT = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("keys", "counts", "values", "more"))])
+PAIRS = T.StructType([*(T.StructField(n, T.LongType()) for n in ("a", "b", "n")), T.StructField("frequent", T.BinaryType())])
+_PAIRS = to_arrow_schema(PAIRS)
 
 
-def _deal(rows: DataFrame, buckets: int, fine: bool = False, everything: bool = False) -> DataFrame:
-    """Signatures of (text, and with `everything` role flags and group), packed by bucket.
+def _packed(buckets: int, key: np.ndarray, value: np.ndarray, more: np.ndarray | None = None) -> Iterator[tuple]:
+    """Entries (key, value) by bucket of the value's upper half; only the lower half is stored. Equal neighbours of one key share it."""
+    bucket = ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, key, value = bucket[order], key[order], value[order].astype(np.uint32)
+    more = more[order] if more is not None else None
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else [0]
+    for a, b in zip(edges, edges[1:]):
+        k = key[a:b]
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        counts = np.diff(np.r_[first, b - a]).astype(np.uint32)
+        yield int(bucket[a]), k[first].tobytes(), counts.tobytes(), value[a:b].tobytes(), more[a:b][first].tobytes() if more is not None else b""
 
-    Keys are doubled and the role is their lowest bit. Within a slice a set is dealt once; a signature that is frequent within a
-    slice goes on as a mark (key 0) alone, and its members' counts go to a negative bucket.
-    """
-    arrow = to_arrow_schema(DEALT)
 
-    def packed(key: np.ndarray, sig: np.ndarray, group: np.ndarray) -> Iterator[tuple]:
-        bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((key, bucket))
-        bucket, key, sig, group = bucket[order], key[order], sig[order].astype(np.uint32), group[order]
-        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else [0]
-        for a, b in zip(edges, edges[1:]):
-            k = key[a:b]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            yield int(bucket[a]), k[first].tobytes(), np.diff(np.r_[first, b - a]).astype(np.uint32).tobytes(), sig[a:b].tobytes(), group[a:b][first].tobytes() if everything else b""
+def _frequent_here(values: np.ndarray) -> np.ndarray:
+    """Which entries have a value that more than FREQUENT entries have; a table of counts leaves few to sort."""
+    cells = 1 << max(10, int(len(values)).bit_length())
+    at = (values >> np.uint64(7)).astype(np.int64) & (cells - 1)
+    many = np.flatnonzero((np.bincount(at, minlength=cells) > FREQUENT)[at])
+    out = np.zeros(len(values), bool)
+    if len(many):
+        _, where, counts = np.unique(values[many], return_inverse=True, return_counts=True)
+        out[many] = counts[where] > FREQUENT
+    return out
+
+
+def _deal_texts(rows: DataFrame, make: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], Iterator[tuple]]) -> DataFrame:
+    """Rows of DEALT that `make` gives for slices of `rows` (text, ...) with their sets."""
+    arrow = to_arrow_schema(DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(), set()
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                sets = shingler.sets(texts_of(part.column("text")))
-                keys = np.array([class_key(s) for s in sets], np.int64)
-                use = []
-                for i, k in enumerate(keys.tolist()):
-                    if k and k not in seen:
-                        use.append(i)
-                        seen.add(k)
-                if len(seen) > 500_000:
-                    seen = set()
-                if not use:
-                    continue
-                sets, keys = [sets[i] for i in use], keys[use]
-                flags = [np.array(part.column(f"open{r}").to_pylist())[use] for r in (0, 1)] if everything else None
-                groups = np.array(part.column("component").to_pylist(), np.int64)[use] if everything else np.zeros(len(use), np.int64)
-                key, sig, group = [], [], []
-                for role in (0, 1):
-                    who, s, _ = signatures(sets, role, fine)
-                    if everything:
-                        on = flags[role][who] > 0
-                        who, s = who[on], s[on]
-                        for i in np.flatnonzero(flags[role] == 2):
-                            more = untouched(sets[i], role, fine)
-                            who, s = np.r_[who, np.full(len(more), i)], np.r_[s, more]
-                    key.append(2 * keys[who] + role), sig.append(s), group.append(groups[who])
-                key, sig, group = map(np.concatenate, (key, sig, group))
-                out = []
-                if not everything and len(sig):
-                    order = np.argsort(sig, kind="stable")
-                    key, sig, group = key[order], sig[order], group[order]
-                    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-                    many = np.diff(np.r_[first, len(sig)]) > FREQUENT
-                    hot = np.repeat(many, np.diff(np.r_[first, len(sig)]))
-                    if many.any():
-                        k, c = np.unique(key[hot], return_counts=True)
-                        out.append((-1 - int(k[0] % buckets), k.tobytes(), c.astype(np.uint32).tobytes(), b"", b""))
-                        marks = sig[first[many]]
-                        key, sig, group = (np.r_[x[~hot], y] for x, y in ((key, np.zeros(len(marks), np.int64)), (sig, marks), (group, np.zeros(len(marks), np.int64))))
-                out += packed(key, sig, group)
+            for part in slices(batch, "text", 6 << 20):
+                out = list(make(part, *shingle_sets(texts_of(part.column("text")))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     return rows.mapInArrow(run, DEALT)
 
 
-def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signature, key and group of all rows of a bucket, sorted, each once; and where each signature begins."""
+def _deal_signatures(rows: DataFrame, buckets: int) -> DataFrame:
+    """All signatures by bucket, under doubled keys whose lowest bit is the role. One that is frequent within a slice goes on
+    as a mark (key 0) alone, and its members to a bucket of their key (negative) with the whole of what names it."""
+
+    def make(part: pa.RecordBatch, flat: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        keys = class_keys(flat, first)
+        once = np.zeros(len(keys), bool)
+        once[np.unique(keys, return_index=True)[1]] = True
+        once &= keys > 0
+        key, sig = [], []
+        for role in (0, 1):
+            who, s, _ = signatures(flat, first, role)
+            on = once[who]
+            key.append(2 * keys[who[on]] + role), sig.append(s[on])
+        key, sig = np.concatenate(key), np.concatenate(sig)
+        hot = _frequent_here(sig)
+        if hot.any():
+            k, s = key[hot], sig[hot]
+            names = (((s >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))
+            home = -1 - (k % buckets)
+            order = np.lexsort((k, home))
+            home, k, names = home[order], k[order], names[order]
+            edges = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True])
+            for a, b in zip(edges, edges[1:]):
+                begin = np.flatnonzero(np.r_[True, k[a + 1 : b] != k[a : b - 1]])
+                yield int(home[a]), k[a:b][begin].tobytes(), np.diff(np.r_[begin, b - a]).astype(np.uint32).tobytes(), b"", names[a:b].tobytes()
+            marks = np.unique(s)
+            key, sig = np.r_[key[~hot], np.zeros(len(marks), np.int64)], np.r_[sig[~hot], marks]
+        yield from _packed(buckets, key, sig)
+
+    return _deal_texts(rows, make)
+
+
+def _deal_features(rows: DataFrame, buckets: int) -> DataFrame:
+    """All features of texts (k, text), each key once, by bucket. Of those that are frequent within a slice only marks go on, and how many each set has (negative bucket)."""
+
+    def make(part: pa.RecordBatch, flat: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        key = np.repeat(part.column("k").to_numpy(zero_copy_only=False), np.diff(first))
+        hot = _frequent_here(flat)
+        if hot.any():
+            k, c = np.unique(key[hot], return_counts=True)
+            yield -1 - int(k[0] % buckets), k.tobytes(), c.astype(np.uint32).tobytes(), b"", b""
+            marks = np.unique(flat[hot])
+            key, flat = np.r_[key[~hot], np.zeros(len(marks), np.int64)], np.r_[flat[~hot], marks]
+        yield from _packed(buckets, key, mixed(flat))
+
+    return _deal_texts(rows, make)
+
+
+def _entries(table: pa.Table, more: type | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Key, value and further field of all entries of a bucket whose value occurs more than once."""
     of = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    counts = of("counts", np.uint32)
-    key, sig, group = np.repeat(of("keys", np.int64), counts), of("signatures", np.uint32), of("groups", np.int64)
-    group = np.repeat(group, counts) if len(group) else np.zeros(len(key), np.int64)
-    order = np.lexsort((key, sig))
-    key, sig, group = key[order], sig[order], group[order]
-    new = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])] if len(sig) else np.empty(0, bool)
-    key, sig, group = key[new], sig[new], group[new]
-    return sig, key, group, np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True]) if len(sig) else np.zeros(1, np.int64)
+    counts, value = of("counts", np.uint32), of("values", np.uint32)
+    at = np.arange(len(value))
+    for shift in (0, 10):  # alone in a cell of a table: alone
+        bits = min(32 - shift, max(10, int(len(at)).bit_length() + 1))
+        cell = (value[at] >> np.uint32(shift)) & np.uint32((1 << bits) - 1)
+        at = at[np.bincount(cell, minlength=1 << bits)[cell] > 1]
+    owner = np.searchsorted(np.cumsum(counts), at, side="right")
+    return of("keys", np.int64)[owner], value[at], of("more", more)[owner] if more else None
+
+
+def _runs(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by value and key, each once: key, value, their order, and where each value begins (and the end)."""
+    order = np.lexsort((key, value))
+    key, value = key[order], value[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (value[1:] != value[:-1]) | (key[1:] != key[:-1])
+    key, value = key[new], value[new]
+    return key, value, order[new], np.flatnonzero(np.r_[True, value[1:] != value[:-1], True]) if len(value) else np.zeros(1, np.int64)
 
 
 def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unordered pairs of doubled keys, one of them at least of role 0, as keys in order, with how often each occurs."""
-    on = (a & 1 == 0) | (b & 1 == 0)
-    a, b = a[on] >> 1, b[on] >> 1
+    """Unordered pairs of different keys, with how often each occurs."""
     a, b = np.minimum(a, b), np.maximum(a, b)
-    on = a != b
-    a, b = a[on], b[on]
+    a, b = a[a != b], b[a != b]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else _NONE
     return a[first], b[first], np.diff(np.r_[first, len(a)])
 
 
-def _as_table(*columns: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=PAIRS.names)
-
-
-def _rare_pairs(table: pa.Table) -> pa.Table:
-    """All pairs of a rare signature with the number of signatures they share here, and (b = -1) frequent signatures by key."""
-    if table.column("bucket")[0].as_py() < 0:
-        of = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        key, count = of("keys", np.int64), of("counts", np.uint32)
-        k, where = np.unique(key, return_inverse=True)
-        return _as_table(k, np.full(len(k), -1), np.bincount(where, count).astype(np.int64))
-    _, key, _, edges = _joined(table)
+def _together(key: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs within runs of at most FREQUENT keys; and which keys lie in longer or marked ones."""
     sizes = np.diff(edges)
     hot = (sizes > FREQUENT) | (key[edges[:-1]] == 0) if len(key) else np.empty(0, bool)
-    a, b = [], []
+    a, b = [_NONE], [_NONE]
     for m in range(2, FREQUENT + 1):
         begin = edges[:-1][(sizes == m) & ~hot]
         if len(begin):
             members = key[begin[:, None] + np.arange(m)]
             i, j = np.triu_indices(m, 1)
-            x, y = members[:, i].ravel(), members[:, j].ravel()
-            on = (x & 1 == 0) | (y & 1 == 0)
-            a.append(x[on]), b.append(y[on])
-    pairs = _counted(np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 3
-    k, c = np.unique(key[np.repeat(hot, sizes)] if len(key) else key, return_counts=True)
-    k, c = k[k != 0], c[k != 0]
-    return _as_table(*(np.r_[x, y] for x, y in zip(pairs, (k, np.full(len(k), -1), c))))
+            a.append(members[:, i].ravel()), b.append(members[:, j].ravel())
+    return np.concatenate(a), np.concatenate(b), np.repeat(hot, sizes)
+
+
+def _as_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, frequent: list | None = None) -> pa.Table:
+    return pa.table([*(pa.array(c, pa.int64()) for c in (a, b, n)), pa.array(frequent if frequent is not None else [None] * len(a), pa.binary())], schema=_PAIRS)
+
+
+def _meet_signatures(table: pa.Table) -> pa.Table:
+    """Pairs of classes with the rare signatures that they share here; and (b = -1) for each doubled key its frequent ones."""
+    bucket = table.column("bucket")[0].as_py()
+    if bucket < 0:
+        of = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        key, name = np.repeat(of("keys", np.int64), of("counts", np.uint32)), of("more", np.uint64)
+        order = np.argsort(key, kind="stable")
+        pairs, key, name = (_NONE,) * 3, key[order], name[order]
+    else:
+        key, value, _, edges = _runs(*_entries(table)[:2])
+        a, b, hot = _together(key, edges)
+        on = (a & 1 == 0) | (b & 1 == 0)
+        pairs = _counted(a[on] >> 1, b[on] >> 1)
+        key, name = key[hot], value[hot].astype(np.uint64) | np.uint64(bucket << 32)
+        order = np.argsort(key, kind="stable")
+        key, name = key[order], name[order]
+        name, key = name[key > 0], key[key > 0]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else _NONE
+    lists = [name[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(key)])]
+    columns = (np.r_[x, y] for x, y in zip(pairs, (key[first], np.full(len(first), -1), np.zeros(len(first), np.int64))))
+    return _as_pairs(*columns, [None] * len(pairs[0]) + lists)
+
+
+def _meet_features(table: pa.Table) -> pa.Table:
+    """Pairs with the rare features that they share here; and (b = -1) how many frequent ones a set has."""
+    if table.column("bucket")[0].as_py() < 0:
+        of = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        k, where = np.unique(of("keys", np.int64), return_inverse=True)
+        return _as_pairs(k, np.full(len(k), -1), np.bincount(where, of("counts", np.uint32)).astype(np.int64))
+    key, _, _, edges = _runs(*_entries(table)[:2])
+    a, b, hot = _together(key, edges)
+    k, c = np.unique(key[hot], return_counts=True)
+    k, c = k[k > 0], c[k > 0]
+    return _as_pairs(*(np.r_[x, y] for x, y in zip(_counted(a, b), (k, np.full(len(k), -1), c))))
+
+
+#: What core sets carry into a bucket: size, frequent features, component.
+CORE = np.dtype([("n", np.uint32), ("h", np.uint32), ("c", np.int64)])
+
+
+def _deal_core(rows: DataFrame, buckets: int) -> DataFrame:
+    """Signatures of core sets (k, text, n, h, thin, component) by bucket. A thin set, whose links may share no signature with
+    features in it, gives all its features as well: two such sets that are linked share one of these."""
+
+    def make(part: pa.RecordBatch, flat: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        of = lambda name: part.column(name).to_numpy(zero_copy_only=False)
+        facts = np.empty(part.num_rows, CORE)
+        facts["n"], facts["h"], facts["c"] = of("n"), of("h"), of("component")
+        key, sig, more = [], [], []
+        for role in (0, 1):
+            who, s, _ = signatures(flat, first, role)
+            key.append(2 * of("k")[who] + role), sig.append(s), more.append(facts[who])
+        which = np.repeat(np.arange(part.num_rows), np.diff(first))
+        thin = np.array(part.column("thin").to_pylist(), bool)[which]
+        key.append(2 * of("k")[which[thin]]), sig.append(mixed(flat[thin] ^ _MIX[3])), more.append(facts[which[thin]])
+        yield from _packed(buckets, *map(np.concatenate, (key, sig, more)))
+
+    return _deal_texts(rows, make)
+
+
+def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether frequent features alone suffice for a link between core sets, which are in different components."""
+    n, m, h = x["n"].astype(np.int64), y["n"].astype(np.int64), np.minimum(x["h"], y["h"]).astype(np.int64)
+    return (7 * h >= 3 * (n + m)) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (x["c"] != y["c"])
 
 
 def _stars(turn: int):
-    """Of each signature, every set with one set of role 0 of another component: the first in an order that each turn draws anew."""
+    """Of each signature, every core set with one of role 0: first that with the fewest features of its own, then others by a hash."""
 
     def stars(table: pa.Table) -> pa.Table:
-        _, key, group, edges = _joined(table)
+        key, value, facts = _entries(table, CORE)
+        key, _, order, edges = _runs(key, value)
         if not len(key):
-            return _as_table(key, key, key)
-        rank = _mixed((key >> 1).astype(np.uint64) ^ np.uint64(turn)) >> np.uint64(1)
+            return _as_pairs(key, key, key)
+        facts = facts[order]
+        rank = mixed((key >> 1).astype(np.uint64) ^ np.uint64(turn)) >> np.uint64(44)
+        if turn == 0:
+            rank += (facts["n"] - facts["h"]).astype(np.uint64) << np.uint64(20)
         rank[key & 1 == 1] = np.iinfo(np.uint64).max
-        order = np.lexsort((rank, np.repeat(np.arange(len(edges) - 1), np.diff(edges))))
-        centre = np.repeat(order[edges[:-1]], np.diff(edges))
-        on = (key[centre] & 1 == 0) & (group[centre] != group)
-        return _as_table(*_counted(key[on], key[centre[on]]))
+        run = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        centre = np.lexsort((rank, run))[edges[:-1]][run]
+        on = (key[centre] & 1 == 0) & (facts["c"][centre] != facts["c"])
+        a, b, n = _counted(key[on] >> 1, key[centre][on] >> 1)
+        return _as_pairs(a, b, n)
 
     return stars
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Of each signature, the pairs of sets of different components."""
-    _, key, group, edges = _joined(table)
-    found = [(np.empty(0, np.int64),) * 3]
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    total = 0
+    """Of each signature, the pairs of core sets of different components that can be linked by frequent features alone."""
+    key, value, facts = _entries(table, CORE)
+    key, _, order, edges = _runs(key, value)
+    facts = facts[order] if len(key) else facts
+    found, held, total = [(_NONE,) * 3], [], 0
     for begin, end in zip(edges, edges[1:]):
-        k, g = key[begin:end], group[begin:end]
-        if (g == g[0]).all():
+        k, x = key[begin:end], facts[begin:end]
+        c, size = np.unique(x["c"], return_inverse=True, return_counts=True)[1:]
+        if len(size) < 2:
             continue
-        for i in range(len(k) - 1):
-            other = i + 1 + np.flatnonzero(g[i + 1 :] != g[i])
-            held.append((np.full(len(other), k[i]), k[other]))
+        for i in np.flatnonzero(c != size.argmax()):  # one of the two at least is outside the largest component
+            other = np.flatnonzero(_possible(x[i], x) & ((k & 1 == 0) | (k[i] & 1 == 0)))
+            held.append((np.full(len(other), k[i] >> 1), k[other] >> 1))
             total += len(other)
             if total > 4_000_000:
-                found.append(_counted(*(np.concatenate(x) for x in zip(*held))))
+                found.append(_counted(*(np.concatenate(v) for v in zip(*held))))
                 held, total = [], 0
     if held:
-        found.append(_counted(*(np.concatenate(x) for x in zip(*held))))
-    return _as_table(*(np.concatenate(x) for x in zip(*found)))
+        found.append(_counted(*(np.concatenate(v) for v in zip(*held))))
+    return _as_pairs(*(np.concatenate(v) for v in zip(*found)))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, sizes: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -321,22 +417,19 @@ def _similar(pairs: DataFrame, texts: DataFrame, sizes: tuple[int, int] = (75, 1
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def make():
-        shingler, kept = Shingler(), {}
-
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            def of(key: int, text: bytes) -> np.ndarray:
-                if key not in kept:
-                    if len(kept) > 64:
-                        kept.clear()
-                    kept[key] = shingler.sets([text])[0]
-                return kept[key]
-
-            a, b, on = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for x, y, s, t in zip(a, b, texts_of(batch.column("text")), texts_of(batch.column("text_b"))):
-                left, right = of(x, s), of(y, t)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                on.append(sizes[1] * common >= sizes[0] * (len(left) + len(right) - common))
-            return pa.RecordBatch.from_arrays([pa.array([v for v, o in zip(x, on) if o], pa.int64()) for x in (a, b)], names=schema.names)
+            ends, at = [], []
+            for keys, column in (("a", "text"), ("b", "text_b")):
+                k, first, where = np.unique(batch.column(keys).to_numpy(), return_index=True, return_inverse=True)
+                column = batch.column(column).take(pa.array(first))
+                ends.append(shingle_sets(texts_of(column))), at.append(where)
+            (left, of_left), (right, of_right) = ends
+            on = []
+            for i, j in zip(*(w.tolist() for w in at)):
+                x, y = left[of_left[i] : of_left[i + 1]], right[of_right[j] : of_right[j + 1]]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                on.append(sizes[1] * common >= sizes[0] * (len(x) + len(y) - common))
+            return batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
         return one
 
@@ -347,44 +440,57 @@ def _own_texts(rows: DataFrame) -> DataFrame:
     """Rows whose text has the set that `k` names: an id that occurs with several texts brings all of them."""
 
     def make():
-        shingler = Shingler()
-
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = [class_key(s) for s in shingler.sets(texts_of(batch.column("text")))]
-            return batch.filter(pa.array([a == b for a, b in zip(keys, batch.column("k").to_pylist())], pa.bool_()))
+            keys = class_keys(*shingle_sets(texts_of(batch.column("text"))))
+            return batch.filter(pa.array(keys == batch.column("k").to_numpy(zero_copy_only=False), pa.bool_()))
 
         return one
 
     return map_rows(rows, make, rows.schema, "text")
 
 
-def _buckets(classes: DataFrame, fine: bool) -> int:
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    return max(8, int(total * (1.5 if fine else 0.8)) // BUCKET)
+def _buckets(entries: int) -> int:
+    return max(8, int(entries) // BUCKET)
 
 
-def _rare_matches(rows: DataFrame, classes: DataFrame, fine: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, n) with the number n of rare signatures that they share; and `classes` with the number of frequent signatures and a flag for each role.
+def _frequent_signatures(met: DataFrame) -> DataFrame:
+    """Per class, how many frequent signatures it has in each role; copies in several tasks count once."""
+    lists = met.where("b = -1").groupBy("a").agg(F.collect_list("frequent").alias("frequent"))
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("n", T.LongType())])
 
-    The flag is 1 if frequent signatures could hide all of a set's links in that role, 2 if parts that it does not touch could.
-    """
-    dealt = _deal(rows, _buckets(classes, fine), fine)
-    met = stored(dealt.groupBy("bucket").applyInArrow(_rare_pairs, PAIRS), "met")
-    hot = met.where("b = -1").groupBy(F.shiftright("a", 1).alias("k")).agg(*(F.sum(F.when(F.col("a").bitwiseAND(1) == r, F.col("n"))).alias(f"hot{r}") for r in (0, 1)))
-    known = classes.join(hot, "k", "left").withColumns({f"hot{r}": F.coalesce(F.col(f"hot{r}"), F.lit(0)) for r in (0, 1)})
-    known = known.withColumns({f"open{r}": F.when(F.col(f"spare{r}") <= 0, 2).when(F.col(f"spare{r}") <= F.col(f"hot{r}"), 1).otherwise(0) for r in (0, 1)})
-    return met.where("b >= 0").groupBy("a", "b").agg(F.sum("n").alias("n")), stored(known, "known")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(np.unique(np.frombuffer(b"".join(x), np.uint64))) for x in batch.column("frequent").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(n, pa.int64())], names=schema.names)
 
+    of_role = lambda r: F.sum(F.when(F.col("a").bitwiseAND(1) == r, F.col("n"))).alias(f"hot{r}")
+    return lists.mapInArrow(run, schema).groupBy(F.shiftright("a", 1).alias("k")).agg(of_role(0), of_role(1))
 
-def _enough(pairs: DataFrame, known: DataFrame, hot: bool) -> DataFrame:
-    """Pairs whose sizes allow the similarity and that share as many signatures as the smaller set (of role 0) must with so similar a set."""
-    side = lambda x: known.select(F.col("k").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "touched0", "hot0")))
+
+def _enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs whose sizes allow the similarity and that share as many rare signatures as the smaller set must with so similar a set."""
+    side = lambda x: known.select(F.col("k").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "parts", "empty", "hot0")))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    need = lambda x: F.col(f"touched0_{x}") - F.floor((F.col("n_a") + F.col("n_b")) / 7) - (F.col(f"hot0_{x}") if hot else 0)
+    different = F.floor((F.col("n_a") + F.col("n_b")) / 7)
+    need = lambda x: F.greatest(3 * F.col(f"parts_{x}") - 2 * different, 2 * F.col(f"parts_{x}") - different) - F.col(f"empty_{x}") - F.col(f"hot0_{x}")
     small = F.when(F.col("n_a") <= F.col("n_b"), need("a")).otherwise(need("b"))
     return rows.where((F.col("n") >= small) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))).select("a", "b")
 
 
+def _by_features(texts: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates among open sets that share a rare feature; and the core sets (k, rep, text, n, h)."""
+    features = known.where("open").agg(F.sum("n")).first()[0] or 0
+    dealt = _deal_features(texts.where("open").select("k", "text"), _buckets(features))
+    met = stored(dealt.groupBy("bucket").applyInArrow(_meet_features, PAIRS), "features")
+    h = met.where("b = -1").groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("h"))
+    of_open = stored(known.where("open").select("k", "n", F.expr("spare0 <= 0 OR spare1 <= 0").alias("thin")).join(h, "k", "left").withColumn("h", F.coalesce("h", F.lit(0))), "open")
+    side = lambda x: of_open.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("h").alias(f"h_{x}"))
+    rare = met.where("b >= 0").groupBy("a", "b").agg(F.sum("n").alias("r")).join(side("a"), "a").join(side("b"), "b")
+    fits = (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (7 * (F.col("r") + F.least("h_a", "h_b")) >= 3 * (F.col("n_a") + F.col("n_b")))
+    core = texts.select("k", "rep", "text").join(of_open.where("4 * h >= 3 * n"), "k")
+    return rare.where(fits).select("a", "b"), core
+
+
 def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked with it, directly or through others).
 
@@ -392,25 +498,26 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
     shingle; without words or with a null text a document has none and is linked with nothing. Equal sets share a
     class and are compared once, by a 62-bit key. Repeated rows of a document get equal results; a null id is linked
     with nothing and has a null component; an empty table gives an empty result; other columns are not
-    looked at. Ids are integers.
+    looked at. Ids are integers. Texts of any length are taken whole.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     described = stored(_describe(source), "sets")
     classes = stored(described.where("k <> 0 AND doc_id IS NOT NULL").groupBy("k").agg(
-        F.min("doc_id").alias("rep"), *(F.max(c).alias(c) for c in ("n", "touched0", "spare0", "touched1", "spare1"))), "classes")
-    met, known = _rare_matches(source.where("doc_id IS NOT NULL").select("text"), classes, fine=False)
-    first = stored(_enough(met, known, hot=True), "pairs")
-    still = known.where("open0 > 0 OR open1 > 0").select("k")
-    wanted = first.select(F.col("a").alias("k")).union(first.select(F.col("b").alias("k"))).union(still).distinct()
-    wanted = stored(wanted.join(known.select("k", "rep", "open0", "open1"), "k"), "wanted")
+        F.min("doc_id").alias("rep"), *(F.max(c).alias(c) for c in ("n", "parts", "empty", "spare0", "spare1"))), "classes")
+    features = classes.agg(F.sum("n")).first()[0] or 0
+    dealt = _deal_signatures(source.where("doc_id IS NOT NULL").select("text"), _buckets(features))
+    met = stored(dealt.groupBy("bucket").applyInArrow(_meet_signatures, PAIRS), "met")
+    known = classes.join(_frequent_signatures(met), "k", "left").withColumns({f"hot{r}": F.coalesce(F.col(f"hot{r}"), F.lit(0)) for r in (0, 1)})
+    known = stored(known.withColumn("open", F.expr("spare0 <= hot0 OR spare1 <= hot1")), "known")
+    rare = stored(_enough(met.where("b >= 0").groupBy("a", "b").agg(F.sum("n").alias("n")), known), "pairs")
+
+    wanted = rare.select(F.col("a").alias("k")).union(rare.select(F.col("b").alias("k"))).union(known.where("open").select("k")).distinct()
+    wanted = stored(wanted.join(known.select("k", "rep", "open"), "k"), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = stored(_own_texts(source.join(ids, source.doc_id == ids.rep).select("k", "rep", "open0", "open1", "text")).dropDuplicates(["k"]), "texts")
-
-    hidden = texts.where("open0 > 0 OR open1 > 0").select("rep", "text")
-    finer = stored(_describe(hidden.select(F.col("rep").alias("doc_id"), "text"), fine=True).withColumnRenamed("doc_id", "rep"), "finer")
-    met, known = _rare_matches(hidden.select("text"), finer, fine=True)
-    first = stored(first.union(_enough(met, known, hot=True)).distinct(), "pairs")
-    large = stored(texts.select("k", "rep", "text").join(known.where("open0 > 0 OR open1 > 0").select("k", "open0", "open1"), "k"), "large")
+    texts = stored(_own_texts(source.join(ids, source.doc_id == ids.rep).select("k", "rep", "open", "text")).dropDuplicates(["k"]), "texts")
+    by_features, core = _by_features(texts, known)
+    core = stored(core, "core")
+    first = stored(rare.union(by_features).distinct(), "pairs")
 
     nodes = classes.select("k", "rep")
     links: list[DataFrame] = []
@@ -422,40 +529,40 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
     def component() -> DataFrame:
         edges = reduce(DataFrame.union, links)
         of = lambda x, end: nodes.select(F.col("k").alias(x), F.col("rep").alias(end))
-        return components(edges.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v"))
+        return stored(components(edges.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v")), "components")
 
     def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
         return rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        c = placed(nodes, found)
+        c = placed(texts.select("k", "rep"), found)
         rows = pairs.join(c.select(F.col("k").alias("a"), F.col("component").alias("ca")), "a").join(c.select(F.col("k").alias("b"), F.col("component").alias("cb")), "b")
         return rows.where("ca <> cb").select("a", "b")
 
-    # Each set with its first partner by rare signatures, then what is still apart, then the members of large groups.
-    one = stored(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    # Core sets with central ones and every other set with its first partner; then all pairs that are still apart.
+    one = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    members, buckets = (x or 0 for x in core.agg(F.count("*"), F.sum("n")).first())
+    buckets = _buckets(buckets)
+
+    def meeting(how, found: DataFrame | None) -> DataFrame:
+        rows = placed(core, found) if found is not None else core.withColumn("component", F.col("rep"))
+        return _deal_core(rows, buckets).groupBy("bucket").applyInArrow(how, PAIRS).select("a", "b").distinct()
+
+    if members:
+        one = one.union(meeting(_stars(0), None)).distinct()
     try_pairs(one)
     found = component()
-    try_pairs(apart(first.join(one, ["a", "b"], "left_anti"), found))
-    found = component()
-    members = large.count()
+    rest = apart(first, found)
     if members:
-        buckets = _buckets(finer, fine=True)
-
-        def meeting(how) -> DataFrame:
-            rows = placed(large, found).select("text", "open0", "open1", "component")
-            pairs = _deal(rows, buckets, fine=True, everything=True).groupBy("bucket").applyInArrow(how, PAIRS)
-            return stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "meeting")
-
-        for turn in range(TURNS):
-            new = try_pairs(_enough(meeting(_stars(turn)).withColumn("n", F.lit(1 << 40)), known, hot=False))
-            if new:
-                found = component()
-            if new * 50 < members:
-                break
-        if try_pairs(_enough(meeting(_across), known, hot=False)):
+        rest = rest.union(meeting(_stars(1), found)).distinct()
+    if try_pairs(rest):
+        found = component()
+    for turn in range(2, TURNS):
+        if members and try_pairs(meeting(_stars(turn), found)):
             found = component()
+    if members and try_pairs(meeting(_across, found)):
+        found = component()
     of_class = placed(nodes, found).select("k", F.col("component").alias("component_id"))
-    placed = described.where("k <> 0 AND doc_id IS NOT NULL").join(of_class, "k").select("doc_id", "n", "component_id")
+    placed_rows = described.where("k <> 0 AND doc_id IS NOT NULL").join(of_class, "k").select("doc_id", "n", "component_id")
     alone = described.where("k = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return placed.union(alone).withColumnRenamed("n", "n_shingles")
+    return placed_rows.union(alone).withColumnRenamed("n", "n_shingles")
