@@ -12,7 +12,7 @@ common passages) are compared further by their features. Features that few open
 frequent ones only counted: what two sets have in common is at most the rare features that they share and the smaller number
 of frequent ones. Pairs that pass this bound are candidates. Pairs without a common rare feature can only be linked if
 both sets consist of frequent features almost entirely ("core" sets); these meet under their signatures again, first each
-with one central set, then with what is still apart and passes the bound. Every candidate is verified on its texts.
+with one central set; a set that is still apart from a component in which the bound allows a link is then compared with all of it, in blocks. Every candidate is verified on its texts.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ WORDS = 5
 FREQUENT = 24
 #: Entries of a bucket, about: what one reducing task holds at once.
 BUCKET = 2_000_000
+#: Core sets of a block, of which a task compares two at most.
+BLOCK = 2048
 #: Rounds in which core sets meet one central set of each signature.
 TURNS = 3
 #: Id lists up to this many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
@@ -387,27 +389,65 @@ def _stars(turn: int):
     return stars
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Of each signature, the pairs of core sets of different components that can be linked by frequent features alone."""
+def _apart(table: pa.Table) -> pa.Table:
+    """Of each signature, core sets outside its largest component (a), with the other components (b) in which frequent features alone allow a link."""
     key, value, facts = _entries(table, CORE)
     key, _, order, edges = _runs(key, value)
     facts = facts[order] if len(key) else facts
-    found, held, total = [(_NONE,) * 3], [], 0
+    found = {}
     for begin, end in zip(edges, edges[1:]):
         k, x = key[begin:end], facts[begin:end]
         c, size = np.unique(x["c"], return_inverse=True, return_counts=True)[1:]
-        if len(size) < 2:
-            continue
-        for i in np.flatnonzero(c != size.argmax()):  # one of the two at least is outside the largest component
-            other = np.flatnonzero(_possible(x[i], x) & ((k & 1 == 0) | (k[i] & 1 == 0)))
-            held.append((np.full(len(other), k[i] >> 1), k[other] >> 1))
-            total += len(other)
-            if total > 4_000_000:
-                found.append(_counted(*(np.concatenate(v) for v in zip(*held))))
-                held, total = [], 0
-    if held:
-        found.append(_counted(*(np.concatenate(v) for v in zip(*held))))
-    return _as_pairs(*(np.concatenate(v) for v in zip(*found)))
+        if len(size) > 1:
+            for i in np.flatnonzero(c != size.argmax()).tolist():
+                other = _possible(x[i], x) & ((k & 1 == 0) | (k[i] & 1 == 0))
+                found.update(dict.fromkeys((int(k[i] >> 1), v) for v in np.unique(x["c"][other]).tolist()))
+    a, b = np.array(list(found), np.int64).reshape(-1, 2).T
+    return _as_pairs(a, b, np.ones(len(a), np.int64))
+
+
+def _searched(apart: DataFrame, core: DataFrame) -> DataFrame:
+    """For core sets and components (a, b): one link (a, b: keys) with a member of each block of the component that has any.
+
+    Sets and members are dealt out in blocks, each of which meets each of the other side, so no task holds a whole component.
+    """
+    members = core.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    plan = apart.groupBy(F.col("b").alias("component")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).join(members, "component")
+    plan = stored(plan, "blocks")
+    deal = lambda by, n: F.pmod(F.xxhash64(by), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    facts = ("k", "n", "h", "text")
+    asking = apart.select(F.col("a").alias("k"), F.col("b").alias("component")).join(plan, "component").join(core.select(*facts), "k")
+    asking = asking.select("component", deal("k", "chunks").alias("chunk"), every("blocks").alias("block"), F.lit(True).alias("asks"), *facts)
+    asked = core.join(plan, "component").select("component", every("chunks").alias("chunk"), deal("k", "blocks").alias("block"), F.lit(False).alias("asks"), *facts)
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def search(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        k, n, h = (table.column(c).to_numpy() for c in ("k", "n", "h"))
+        here = [table.filter(pa.array(on)).column("text") for on in (asks, ~asks)]
+        (left, of_left), (right, of_right) = (shingle_sets([t.encode() for t in c.to_pylist()]) for c in here)
+        a, b = [], []
+        if len(here[0]) and len(here[1]):
+            names, place = np.unique(right, return_inverse=True)
+            mark = np.zeros(len(names) + 1, np.int64)
+            m, hm, km = n[~asks], h[~asks], k[~asks]
+            for i, (x, size, common) in enumerate(zip(k[asks].tolist(), n[asks].tolist(), h[asks].tolist())):
+                most = np.minimum(hm, common)
+                if not ((7 * most >= 3 * (m + size)) & (km != x)).any():
+                    continue
+                own = left[of_left[i] : of_left[i + 1]]
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                at = at[names[at] == own]
+                mark[at] = 1
+                both = np.add.reduceat(mark[place], of_right[:-1])
+                mark[at] = 0
+                linked = np.flatnonzero((100 * both >= 75 * (m + size - both)) & (km != x))
+                if len(linked):
+                    a.append(x), b.append(int(km[linked[0]]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=schema.names)
+
+    return asking.union(asked).groupBy("component", "chunk", "block").applyInArrow(search, schema).distinct()
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, sizes: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -560,7 +600,8 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
     for turn in range(2, TURNS):
         if members and try_pairs(meeting(_stars(turn), found)):
             found = component()
-    if members and try_pairs(meeting(_across, found)):
+    if members:
+        links.append(stored(_searched(stored(meeting(_apart, found), "apart"), placed(core, found)), "links"))
         found = component()
     of_class = placed(nodes, found).select("k", F.col("component").alias("component_id"))
     placed_rows = described.where("k <> 0 AND doc_id IS NOT NULL").join(of_class, "k").select("doc_id", "n", "component_id")
