@@ -1,11 +1,13 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Confirm recurring passages: of every run of 50 words, the 8-word phrase with the smallest hash is its phrase
-   (winnowing), so two documents that share 50 words share a phrase; phrases of one document only are dropped.
-2. Compile sharded automata: a shard is a slice of documents with the recurring phrases that these hold, as an Aho-Corasick
-   automaton; its size is bounded by the slice, not by the corpus.
-3. Stream the slice's documents through it: every occurrence gives the 50-word windows around it, and of each
-   window (by a 128-bit hash of its words) the smallest document is found.
+   (winnowing), so two documents that share 50 words share a phrase; phrases of one document only are dropped. A phrase
+   travels as 32 symbols, four for each word, so long words cost no more than short ones.
+2. Compile sharded automata: a shard is a slice of documents with the confirmed phrases that these hold, as an Aho-Corasick
+   automaton; its size is bounded by the slice, not by the corpus. Documents without a confirmed phrase
+   can't hold a repeated run, so no shard has anything for them.
+3. Stream the slice's documents, as symbols, through the shard: it alone finds where phrases occur. Every occurrence gives the
+   50-word windows around it, and of each window (by a 128-bit hash of its words) the smallest document is found.
 """
 
 from __future__ import annotations
@@ -15,122 +17,166 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cellwise.llm.common import map_rows, slices, texts_of
-from cellwise.llm.word_tokens import Memory
+from cellwise.llm.word_hashes import mixed, up_and_down, word_hashes
 from cellwise.session import stored
 
 WINDOW = 50
 PHRASE = 8
+#: Symbols of a word, and of a phrase.
+SYMBOLS = 4
+LENGTH = SYMBOLS * PHRASE
 #: Windows of a bucket, about: what one reducing task holds at once.
 BUCKET = 1_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _ODD[3]
-    x = (x ^ (x >> np.uint64(29))) * _ODD[1]
-    return x ^ (x >> np.uint64(32))
-
-
-class Hasher:
-    """64-bit hashes of the words of texts."""
-
-    def __init__(self, remember: int = 200_000) -> None:
-        self.memory = Memory(remember)
-
-    def __call__(self, split: list[list[bytes]]) -> list[np.ndarray]:
-        known = self.memory.fill((w for words in split for w in words), lambda new: map(xxhash.xxh64_intdigest, new))
-        return [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) for words in split]
-
-
-def phrase_hashes(h: np.ndarray) -> np.ndarray:
-    """A hash for every phrase of a document, by its first word."""
-    n = len(h) - PHRASE + 1
-    return _mixed(sum((h[i : i + n] * _ODD[i] for i in range(1, PHRASE)), h[:n] * _ODD[0])) if n > 0 else h[:0]
-
-
-def chosen_phrases(h: np.ndarray) -> np.ndarray:
-    """The distinct smallest phrase hashes of all windows of a document."""
-    g, w = phrase_hashes(h), WINDOW - PHRASE + 1
-    n = len(g) - w + 1
-    if n < 1:
-        return g[:0]
-    rows = np.full(-(-len(g) // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    rows[: len(g)] = g
-    rows = rows.reshape(-1, w)
-    forward = np.minimum.accumulate(rows, 1).ravel()
-    backward = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
-    return np.unique(np.minimum(backward[:n], forward[w - 1 : w - 1 + n]))
-
-
-_POWERS: list[list[np.ndarray]] = []
-
-
-def _powers(n: int) -> list[list[np.ndarray]]:
-    """Powers of both bases and of their inverses modulo 2**64, n of each at least."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(1 << 16, 2 * n)
-        _POWERS[:] = [[np.r_[np.uint64(1), np.cumprod(np.full(size, b, np.uint64))] for b in (base, pow(base, -1, 1 << 64))] for base in _BASES]
-    return _POWERS
+_STEP = 1 << 17
+
+
+def symbols(h: np.ndarray) -> np.ndarray:
+    """Four symbols a word, of which the first tells that a word begins; equal words have equal ones."""
+    five = [(h >> np.uint64(5 * i + 3)).astype(np.uint8) & np.uint8(31) for i in range(SYMBOLS)]
+    return np.stack([five[0] + np.uint8(64), *(x + np.uint8(96) for x in five[1:])], 1)
+
+
+def phrase_hashes(signs: np.ndarray) -> np.ndarray:
+    """A hash for every phrase of a row of words (as symbols), by its first word."""
+    words = signs.view(np.uint32).ravel().astype(np.uint64)
+    n = len(words) - PHRASE + 1
+    return mixed(sum((words[i : i + n] * _ODD[i] for i in range(1, PHRASE)), words[:n] * _ODD[0])) if n > 0 else words[:0]
+
+
+def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The best of every run of `width` values."""
+    n = len(x) - width + 1
+    rows = np.full(-(-len(x) // width) * width, x[-1], x.dtype)
+    rows[: len(x)] = x
+    rows = rows.reshape(-1, width)
+    forward = best.accumulate(rows, 1).ravel()
+    backward = best.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+    return best(backward[:n], forward[width - 1 : width - 1 + n])
+
+
+def chosen_phrases(signs: np.ndarray, of_text: np.ndarray) -> np.ndarray:
+    """First words of the phrases with the smallest hash of some window of one text."""
+    w = WINDOW - PHRASE + 1
+    if len(signs) < WINDOW:
+        return np.empty(0, np.int64)
+    g = phrase_hashes(signs)
+    least = _sliding(g, w, np.minimum)
+    fits = np.zeros(len(least) + 1, np.int64)  # windows that begin and end in one text
+    long = np.diff(of_text) >= WINDOW
+    fits[of_text[:-1][long]] += 1
+    np.add.at(fits, of_text[1:][long] - WINDOW + 1, -1)
+    least = np.where(np.cumsum(fits[:-1]) > 0, least, np.uint64(0))
+    around = np.zeros(len(least) + 2 * (w - 1), np.uint64)
+    around[w - 1 : w - 1 + len(least)] = least
+    return np.flatnonzero(_sliding(around, w, np.maximum) == g)
 
 
 def window_hashes(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the windows that begin at `starts`: differences of prefix sums, moved to the origin."""
-    out = []
-    for (up, down), words in zip(_powers(len(h) + 1), (h, _mixed(h ^ _ODD[5]))):
-        sums = np.r_[np.uint64(0), np.cumsum(words * up[: len(h)])]
-        out.append(_mixed((sums[starts + WINDOW] - sums[starts]) * down[starts]))
+    """Two 64-bit hashes of the windows that begin at `starts` (ascending): differences of prefix sums, moved to the origin."""
+    out = [np.empty(len(starts), np.uint64) for _ in _BASES]
+    for a in range(0, len(h), _STEP):
+        i, j = np.searchsorted(starts, (a, a + _STEP))
+        if i == j:
+            continue
+        part, at = h[a : a + _STEP + WINDOW], starts[i:j] - a
+        for base, words, to in zip(_BASES, (part, mixed(part ^ _ODD[5])), out):
+            up, down = up_and_down(base, _STEP + WINDOW)
+            sums = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)])]
+            to[i:j] = mixed((sums[at + WINDOW] - sums[at]) * down[at])
     return out[0], out[1]
 
 
-PHRASES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("phrase", T.LongType())])
+PHRASES = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("docs", "known", "signs"))])
+HELD = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("phrases", T.BinaryType())])
 DEALT = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("docs", "counts", "starts", "hash1", "hash2"))])
 REPEATS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("starts", T.BinaryType())])
 
 
-def _phrases(docs: DataFrame) -> DataFrame:
-    def make():
-        hasher = Hasher()
+def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else [0]
+    for a, b in zip(edges, edges[1:]):
+        yield int(bucket[a]), *(c[a:b].tobytes() for c in columns)
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [chosen_phrases(h).view(np.int64) for h in hasher([t.split() for t in texts_of(batch.column("text"))])]
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(f) for f in found])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found))], names=PHRASES.names)
 
-        return one
+def _phrases(docs: DataFrame, buckets: int) -> DataFrame:
+    """Chosen phrases by bucket of their hash. One that several documents of a slice hold is known to recur: it goes on once (for the
+    smallest document, marked as known), and its holders go to a bucket of their document (negative)."""
+    arrow = to_arrow_schema(PHRASES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                h, _, _, of_text, _ = word_hashes(texts_of(part.column("text")))
+                signs = symbols(h)
+                at = chosen_phrases(signs, of_text)
+                if not len(at):
+                    continue
+                doc = ids[np.searchsorted(of_text, at, side="right") - 1]
+                g = phrase_hashes(signs)[at]
+                order = np.lexsort((doc, g))
+                at, doc, g = at[order], doc[order], g[order]
+                new = np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]
+                at, doc, g = at[new], doc[new], g[new]
+                first = np.r_[True, g[1:] != g[:-1]]
+                known = np.repeat(np.diff(np.r_[np.flatnonzero(first), len(g)]) > 1, np.diff(np.r_[np.flatnonzero(first), len(g)]))
+                texts = signs[at[:, None] + np.arange(PHRASE)].reshape(-1, LENGTH)
+                out = [*_by_bucket(((g[first] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64), doc[first], known[first], texts[first])]
+                out += _by_bucket(-1 - (doc[known] % buckets), doc[known], known[known], texts[known])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return map_rows(docs, make, PHRASES, "text")
+    return docs.mapInArrow(run, PHRASES)
 
 
-def occurrences(split: list[list[bytes]], hashes: list[np.ndarray], recurring: list[np.ndarray]) -> list[np.ndarray]:
-    """Places (first words) of all recurring phrases in each document, by one automaton over all of them."""
+def _recurring(table: pa.Table) -> pa.Table:
+    """The phrases of a bucket that several documents hold, by document."""
+    of = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    doc, known, signs = of("docs", np.int64), of("known", bool), of("signs", np.uint8).reshape(-1, LENGTH)
+    if table.column("bucket")[0].as_py() >= 0:
+        g = mixed((np.ascontiguousarray(signs).view(np.uint32).astype(np.uint64) * _ODD).sum(1, dtype=np.uint64))
+        order = np.lexsort((doc, g))
+        doc, known, signs, g = doc[order], known[order], signs[order], g[order]
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        counts = np.diff(np.r_[first, len(g)])
+        recurs = np.logical_or.reduceat(known, first) | (doc[first] < doc[first + counts - 1])
+        on = np.repeat(recurs, counts) & ~known
+        doc, signs = doc[on], signs[on]
+    order = np.argsort(doc, kind="stable")
+    doc, signs = doc[order], signs[order]
+    edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else [0]
+    return pa.table([pa.array(doc[edges[:-1]], pa.int64()), pa.array([signs[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], schema=to_arrow_schema(HELD))
+
+
+def compile_shard(phrases: set[bytes]) -> ahocorasick.Automaton | None:
+    """An automaton over phrases, as symbols."""
     automaton = ahocorasick.Automaton()
-    for words, h, known in zip(split, hashes, recurring):
-        g = phrase_hashes(h)
-        for at in np.flatnonzero(np.isin(g, known)).tolist():
-            automaton.add_word((b" " + b" ".join(words[at : at + PHRASE]) + b" ").decode("latin-1"), 0)
+    for p in phrases:
+        automaton.add_word(p.decode("latin-1"), 0)
     if not len(automaton):
-        return [np.empty(0, np.int64)] * len(split)
+        return None
     automaton.make_automaton()
-    out = []
-    for words in split:
-        text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        last = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-        ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
-        out.append(np.searchsorted(ends, last) - PHRASE + 1)
-    return out
+    return automaton
+
+
+def occurrences(automaton: ahocorasick.Automaton, signs: np.ndarray) -> np.ndarray:
+    """First words of all phrases of the automaton in a row of words, in order."""
+    last = np.fromiter((end for end, _ in automaton.iter(signs.tobytes().decode("latin-1"))), np.int64)
+    return last // SYMBOLS - PHRASE + 1
 
 
 def _windows(rows: DataFrame, buckets: int) -> DataFrame:
-    """Windows around recurring phrases (doc_id, text, phrases), packed by bucket.
+    """Windows around confirmed phrases (doc_id, text, phrases), packed by bucket.
 
     Of equal windows in a slice, only those of the smallest document go on; the others are known to be repeats
     and go to a negative bucket as they are.
@@ -138,27 +184,27 @@ def _windows(rows: DataFrame, buckets: int) -> DataFrame:
     arrow = to_arrow_schema(DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                split = [t.split() for t in texts_of(part.column("text"))]
-                hashes = hasher(split)
-                known = [np.array(x, np.int64).view(np.uint64) for x in part.column("phrases").to_pylist()]
-                doc, start, one, two = [], [], [], []
-                for i, (h, at) in enumerate(zip(hashes, occurrences(split, hashes, known))):
-                    if len(h) < WINDOW or not len(at):
-                        continue
-                    last = len(h) - WINDOW
-                    edges = np.zeros(last + 2, np.int64)
-                    np.add.at(edges, np.clip(at - (WINDOW - PHRASE), 0, last + 1), 1)
-                    np.add.at(edges, np.minimum(at, last) + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-                    a, b = window_hashes(h, starts)
-                    doc.append(np.full(len(starts), ids[i])), start.append(starts), one.append(a), two.append(b)
-                if not doc:
+                raw = [b"".join(x) for x in part.column("phrases").to_pylist()]
+                automaton = compile_shard({x[i : i + LENGTH] for x in raw for i in range(0, len(x), LENGTH)})
+                if automaton is None:
+                    continue
+                h, _, _, of_text, _ = word_hashes(texts_of(part.column("text")))
+                edges = np.zeros(len(h) + 2, np.int64)
+                signs = symbols(h)
+                for a, b in zip(of_text.tolist(), of_text[1:].tolist()):
+                    if b - a >= WINDOW:
+                        at = a + occurrences(automaton, signs[a:b])
+                        np.add.at(edges, np.clip(at - (WINDOW - PHRASE), a, b - WINDOW + 1), 1)
+                        np.add.at(edges, np.minimum(at, b - WINDOW) + 1, -1)
+                start = np.flatnonzero(np.cumsum(edges) > 0)
+                if not len(start):
                     continue
-                doc, start, one, two = map(np.concatenate, (doc, start, one, two))
+                one, two = window_hashes(h, start)
+                text = np.searchsorted(of_text, start, side="right") - 1
+                doc, start = ids[text], start - of_text[text]
                 order = np.lexsort((doc, two, one))
                 doc, start, one, two = doc[order], start[order], one[order], two[order]
                 first = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
@@ -198,11 +244,10 @@ def _later(table: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and `starts` (a list of packed uint32 arrays): the first words of its windows that a document with a smaller id has too."""
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    phrases = stored(_phrases(source), "phrases")
-    several = phrases.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase")
-    held = stored(phrases.join(several, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")), "held")
-    total = held.agg(F.sum(F.size("phrases"))).first()[0] or 0
-    buckets = max(8, total * (WINDOW - PHRASE + 1) // 2 // BUCKET)
+    # A text has at most one window for every two of its bytes, and on these six; a line that repeats counts as often as it occurs.
+    buckets = max(8, (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 // BUCKET)
+    phrases = _phrases(source, buckets).groupBy("bucket").applyInArrow(_recurring, HELD)
+    held = stored(phrases, "held").groupBy("doc_id").agg(F.collect_list("phrases").alias("phrases"))
     dealt = _windows(source.join(held, "doc_id"), buckets)
     found = dealt.groupBy("bucket").applyInArrow(_later, REPEATS)
     return stored(found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "repeats")
@@ -217,7 +262,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lose any; an empty table gives an empty result; other columns pass through (`prefix` keeps the new names apart).
     """
     names = [prefix + n for n in ("n_words", "n_removed", "kept_text")]
-    if clash := {*names, "_starts"} & set(docs.columns):
+    if clash := {*names, "_starts", "_doc"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already; choose another prefix")
     starts = repeated_windows(docs, id_column, text_column).select(F.col("doc_id").alias("_doc"), F.col("starts").alias("_starts"))
     rows = docs.join(starts, docs[id_column].cast("long") == starts["_doc"], "left").drop("_doc")

@@ -7,12 +7,13 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cellwise.llm import ngram_join
+from cellwise.llm import ngram_join, substring
 from cellwise.llm.cap_filters import embedding_near_dedup
 from cellwise.llm.ngram_join import band_bounds, most_different, ngram_jaccard_join, parts_of, shared_at_least, shingle_sets, signatures
-from cellwise.llm.substring import WINDOW, chosen_phrases, substring_dedup, window_hashes
+from cellwise.llm.substring import WINDOW, chosen_phrases, compile_shard, occurrences, substring_dedup, symbols, window_hashes
 
 SPACE = "[^\x20\x09-\x0d]+"
 
@@ -165,20 +166,52 @@ def test_substrings_on_odd_rows(spark):
     got = Counter((r.doc_id, r.n_removed) for r in substring_dedup(d).collect())
     assert got == Counter({(4, 0): 2, (None, 0): 1, (9, 70): 1, (3, 0): 1})
     assert substring_dedup(d.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        substring_dedup(d.withColumnRenamed("text", "n_words"), text_column="n_words")
+    for name in ("n_words", "_doc", "_starts"):
+        with pytest.raises(ValueError):
+            substring_dedup(d.withColumnRenamed("text", name), text_column=name)
 
 
 def test_every_window_holds_a_chosen_phrase():
-    h = np.random.default_rng(3).integers(0, 50, 400).astype(np.uint64)
-    whole = set(chosen_phrases(h).tolist())
+    h = np.random.default_rng(3).integers(0, 50, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    signs = symbols(h)
+    phrases = lambda a, b: {signs[a + k : a + k + 8].tobytes() for k in chosen_phrases(signs[a:b], np.array([0, b - a])).tolist()}
+    whole = phrases(0, 400)
     for k in range(400 - WINDOW + 1):
-        part = set(chosen_phrases(h[k : k + WINDOW]).tolist())
+        part = phrases(k, k + WINDOW)
         assert len(part) == 1 and part <= whole
+    cut = chosen_phrases(signs, np.array([0, 30, 30, 90, 400]))
+    apart = [a + chosen_phrases(signs[a:b], np.array([0, b - a])) for a, b in ((0, 30), (30, 90), (90, 400))]
+    assert cut.tolist() == np.concatenate(apart).tolist()
     a, b = window_hashes(h, np.arange(351)), window_hashes(h[17:], np.arange(300))
     assert (a[0][17:317] == b[0]).all() and (a[1][17:317] == b[1]).all()
 
 
+def test_the_automaton_alone_finds_phrases(monkeypatch, spark):
+    r = np.random.default_rng(5)
+    h = r.integers(0, 3, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    signs = symbols(h)
+    wanted = {signs[k : k + 8].tobytes() for k in range(0, 3000, 100)}
+    assert occurrences(compile_shard(wanted), signs).tolist() == [k for k in range(2993) if signs[k : k + 8].tobytes() in wanted]
+    assert compile_shard(set()) is None
+    run = " ".join(f"t{i}" for i in range(60))
+    docs = pa.record_batch([pa.array([1, 2]), pa.array([run, "x " + run]), pa.array([[], []], pa.list_(pa.binary()))], names=["doc_id", "text", "phrases"])
+
+    class Rows:  # without confirmed phrases no window goes on, whatever the texts share
+        def mapInArrow(self, run, schema):
+            return list(run(iter([docs])))
+
+    assert substring._windows(Rows(), 8) == []
+
+
+def test_substrings_in_very_long_texts(spark):
+    r = random.Random(8)
+    run = [f"r{i}" for i in range(90)]
+    long = [f"w{r.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(run)), (2, " ".join(long[:200_000] + run + long[200_000:])), (3, "z" * 3_000_000 + " " + " ".join(run)), (4, "same line\n" * 60_000), (5, "same line\n" * 100)]
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (90, 0), 2: (300_090, 90), 3: (91, 90), 4: (120_000, 0), 5: (200, 200)}
+
+
 def vectors(n=700, d=16, seed=2):
     r = np.random.default_rng(seed)
     x = r.standard_normal((n, d))
