@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,19 +10,23 @@ from pyspark.sql import types as T
 
 from cellwise.llm.common import map_rows, texts_of
 from cellwise.llm.word_tokens import word_encoder
+from cellwise.session import stored
 
 #: Lengths are summed in blocks of this many, so that no window holds more than a block or the list of blocks.
 BLOCK = 1024
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:
-    """The encoded length (`n_tokens`) of every text; a null or empty text has 0."""
+    """The encoded length (`n_tokens`) of every text, whole: one row per row, repeated rows too.
+
+    A null or empty text has 0; an empty table gives an empty result; other columns are not looked at.
+    """
     source = docs.select(F.col(text_column).cast("string").alias("text"))
     schema = T.StructType([T.StructField("n_tokens", T.LongType())])
 
     def make():
         encoder = word_encoder(tokenizer)
-        return lambda batch: pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encoder.encode(texts_of(batch.column("text")))], pa.int64())], names=["n_tokens"])
+        return lambda batch: pa.RecordBatch.from_arrays([pa.array(np.diff(encoder.encode_flat(texts_of(batch.column("text")))[1]), pa.int64())], names=["n_tokens"])
 
     return map_rows(source, make, schema, "text")
 
@@ -30,11 +35,11 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     """One row per length that occurs: n_docs of it, docs_from and tokens_from (documents of at least that length and their
     tokens), truncated_tokens (all tokens if documents are cut there) and share_to (share of documents of at most that length).
 
-    Null lengths are left out; an empty table gives an empty result. Counts combine before the shuffle, so a
+    The histogram is written to the shared folder, so texts are read and encoded once. Null lengths are left out; an empty table gives an empty result. Counts combine before the shuffle, so a
     length that a third of the documents have is no hot spot.
     """
     h = lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
-    h = h.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    h = stored(h, "histogram").withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
