@@ -40,18 +40,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
         encoder = word_encoder(tokenizer)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, start, length, crc, tokens, ids = [], [], [], [], [], []
-            for i, raw in enumerate(encoder.encode(texts_of(batch.column("text")))):
-                raw += end
-                at = 0
-                for n in binary_lengths(len(raw) // 4, longest):
-                    piece = raw[4 * at : 4 * (at + n)]
-                    row.append(i), start.append(at), length.append(n), crc.append(zlib.crc32(piece)), tokens.append(len(raw) // 4)
-                    if with_ids:
-                        ids.append(piece)
+            row, start, length, crc, tokens, pieces = [], [], [], [], [], []
+            ids, ends = encoder.encode_flat(texts_of(batch.column("text")))
+            raw = ids.data.cast("B") if len(ids) else memoryview(b"")
+            for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+                at, total = 0, b - a + 1
+                for n in binary_lengths(total, longest):
+                    piece = raw[4 * (a + at) : 4 * min(a + at + n, b)]
+                    check = zlib.crc32(piece)
+                    row.append(i), start.append(at), length.append(n), tokens.append(total)
                     at += n
+                    crc.append(zlib.crc32(end, check) if at == total else check)
+                    if with_ids:
+                        pieces.append(bytes(piece) + end * (at == total))
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(v, pa.int64()) for v in (start, length, crc, tokens))]
-            return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=schema.names)
+            return pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.binary())] * with_ids, names=schema.names)
 
         return one
 

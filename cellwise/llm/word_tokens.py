@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from cellwise.llm.word_hashes import word_hashes
+
 
 class Memory:
     """Two generations of a dictionary: what is used stays, and at most 2 * `size` entries outlive a call of `fill`."""
@@ -30,6 +32,24 @@ class Memory:
         return young
 
 
+def gathered(key: np.ndarray, begin: np.ndarray, end: np.ndarray, of_text: np.ndarray, data: np.ndarray, memory: Memory, new: Callable[[list[bytes]], Iterable[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows of chunks (data[begin:end], equal where `key` is), each distinct chunk encoded once: ids, and where each text's begin.
+
+    A chunk is known by its 64-bit key within the slice of texts, and by its bytes in the memory.
+    """
+    _, one, which = np.unique(key, return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    chunks = [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())]
+    known = memory.fill(chunks, new)
+    found = [known[c] for c in chunks]
+    counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat = np.frombuffer(b"".join(found), "<u4")
+    n = counts[which]
+    ends = np.r_[0, np.cumsum(n)]
+    ids = flat[np.repeat((np.cumsum(counts) - counts)[which] - ends[:-1], n) + np.arange(ends[-1])]
+    return ids, ends[of_text]
+
+
 class WordEncoder:
     """Ids as `tokenizers` gives them for whole texts (add_special_tokens=False, special strings are ordinary text).
 
@@ -58,20 +78,26 @@ class WordEncoder:
         plain = [i for i, t in enumerate(texts) if self.MARK not in t and len(t) < 1000]
         for i in {*range(len(words))} - {*plain}:
             out[i] = np.array(self._one(texts[i]), "<u4").tobytes()
-        for k in range(0, len(plain), 500):
-            part = plain[k : k + 500]
-            ids = np.array(self._one(f" {self.MARK} ".join([texts[i] for i in part])), "<u4")
+        runs = [plain[k : k + 50] for k in range(0, len(plain), 50)]
+        joined = [f" {self.MARK} ".join([texts[i] for i in part]) for part in runs]
+        for part, found in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) if joined else []):
+            ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(ids == self.mark).tolist()
             raw = ids.tobytes()
             for i, a, b in zip(part, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
                 out[i] = raw[4 * a : 4 * b]
         return out
 
+    def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin (and the end)."""
+        h, first, end, of_text, data = word_hashes(texts)
+        return gathered(h, first, end, of_text, data, self.memory, self._new)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        known = self.memory.fill((w for words in split for w in words), self._new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        ids, ends = self.encode_flat(texts)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 @lru_cache(2)
