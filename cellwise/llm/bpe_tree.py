@@ -18,12 +18,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellwise.llm.common import map_rows, texts_of
-from cellwise.llm.word_tokens import Memory
+from cellwise.llm.word_hashes import mixed, word_hashes
+from cellwise.llm.word_tokens import Memory, gathered
 
 #: The Unicode property White_Space, which the pattern's \s stands for.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -32,14 +34,22 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 class TreeBPE:
     """Encodes and decodes by a rank table. `leaf`: bytes up to which a string is encoded without halving."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 6, remember: int = 150_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 12, remember: int = 150_000) -> None:
         self.ranks, self.leaf, self.memory = ranks, leaf, Memory(remember)
+        self.none = max(ranks.values()) + 1
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        pairs = {(ranks[t[:i]] * (self.none + 1) + ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[p] for p in self.pairs.tolist()], np.int64)
+        self.leaf_ids: dict[bytes, list[int]] = {}
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.table = np.empty(self.none, object)
+        self.table[list(self.bytes_of)] = list(self.bytes_of.values())
         own = pattern.replace("[^\\s", f"[^{WHITE}").replace("(?!\\S)", f"(?![^{WHITE}])").replace("\\s", f"[{WHITE}]")
         self.pieces: Callable[[str], list[str]] = regex.compile(own).findall
         #: White space before a word belongs to the word's matches; no match goes on behind a word.
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        self.ascii_chunks = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
+        self.other_white = re.compile(f"(?![\t-\r ])[{WHITE}]").search
         self.agree = lru_cache(1 << 17)(self._agree)
         self.half = lru_cache(1 << 17)(self._tree)
 
@@ -118,30 +128,126 @@ class TreeBPE:
 
     def _tree(self, data: bytes) -> list[int]:
         if len(data) <= self.leaf:
-            return self._short(data)
+            return self.leaf_ids[data] if data in self.leaf_ids else self._short(data)
         half = len(data) // 2
         if half > 32:
             return self.join(self._tree(data[:half]), self._tree(data[half:]))
         return self.join(self.half(data[:half]), self.half(data[half:]))
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = [t for piece in self.pieces(chunk) for t in self.encode_bytes(piece.encode())]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _leaves(self, pieces: set[bytes]) -> None:
+        """Encode the leaves of the trees of `pieces` side by side: in every round each leaf merges its lowest-ranked pair, leftmost first."""
+        todo: set[bytes] = set()
+
+        def split(data: bytes) -> None:
+            if len(data) <= self.leaf:
+                todo.add(data)
+            else:
+                half = len(data) // 2
+                split(data[:half]), split(data[half:])
+
+        for p in pieces:
+            if p not in self.ranks:
+                split(p)
+        if len(self.leaf_ids) > 1 << 19:
+            self.leaf_ids.clear()
+        new = [p for p in todo if p not in self.leaf_ids]
+        if not new:
+            return
+        length = np.fromiter(map(len, new), np.int64, len(new))
+        data = np.frombuffer(b"".join(p.ljust(self.leaf, b"\0") for p in new), np.uint8).reshape(len(new), self.leaf)
+        tokens = np.full((len(new), self.leaf + 1), self.none, np.int64)
+        tokens[:, :-1] = np.where(np.arange(self.leaf) < length[:, None], self.single[data], self.none)
+
+        def ranks_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            pair = left * (self.none + 1) + right
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            return np.where(self.pairs[at] == pair, self.merged[at], self.none)
+
+        rows, columns = np.arange(len(new)), np.arange(self.leaf + 1)
+        t, rank = tokens, ranks_of(tokens[:, :-1], tokens[:, 1:])
+        while len(rows):
+            best = rank.argmin(1)
+            least = rank[np.arange(len(rows)), best]
+            on = least < self.none
+            tokens[rows[~on]] = t[~on]
+            rows, t, rank, best, least = rows[on], t[on], rank[on], best[on], least[on]
+            i = np.arange(len(rows))
+            t[i, best] = least
+            move = np.minimum(columns + (columns > best[:, None]), self.leaf)
+            t = np.take_along_axis(t, move, 1)
+            t[:, -1] = self.none
+            rank = np.take_along_axis(rank, np.minimum(move[:, :-1], self.leaf - 1), 1)
+            rank[:, -1] = self.none
+            rank[i, best] = ranks_of(t[i, best], t[i, best + 1])
+            before = np.maximum(best - 1, 0)
+            rank[i, before] = np.where(best > 0, ranks_of(t[i, before], t[i, before + 1]), rank[i, before])
+        lists = tokens.tolist()
+        counts = (tokens < self.none).sum(1).tolist()
+        self.leaf_ids.update((p, x[:n]) for p, x, n in zip(new, lists, counts))
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        split = [[p.encode() for p in self.pieces(c)] for c in chunks]
+        distinct = {p for pieces in split for p in pieces}
+        self._leaves(distinct)
+        known = {p: struct.pack(f"<{len(ids)}I", *ids) for p in distinct for ids in (self.encode_bytes(p),)}
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+    def _odd(self, text: str) -> bytes:
+        return b"".join(self._chunks(self.chunks(text)))
+
+    def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin (and the end). Chunks are a word with the white space
+        before it, and what is behind the last word; texts with other white space than ASCII's are cut by the pattern itself."""
+        h, first, end, of_text, data = word_hashes(texts)
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        stop = np.cumsum(sizes) - 1
+        begin = np.empty(len(h), np.int64)
+        begin[1:] = end[:-1]
+        some = of_text[1:] > of_text[:-1]
+        begin[of_text[:-1][some]] = (stop - sizes + 1)[some]
+        key, raw = h.copy(), data.tobytes()
+        gap = first - begin
+        space = (gap == 1) & (data[np.minimum(begin, len(data) - 1)] == 32)
+        key[space] = mixed(key[space] + np.uint64(1))
+        rest = np.flatnonzero((gap > 0) & ~space)
+        white = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(begin[rest].tolist(), first[rest].tolist())), np.uint64, len(rest))
+        key[rest] = mixed(key[rest] ^ white)
+        ids, ends = gathered(key, begin, end, of_text, data, self.memory, lambda new: self._chunks([c.decode("utf-8", "replace") for c in new]))
+        last = np.where(some, end[np.maximum(of_text[1:] - 1, 0)] if len(end) else 0, stop - sizes + 1)
+        other = {i: self._chunks([texts[i][a:].decode()])[0] for i, a in zip(np.flatnonzero(last < stop).tolist(), (last - stop + sizes - 1)[last < stop].tolist())}
+        other = {i: (True, tail) for i, tail in other.items()}
+        for i, t in enumerate(texts):
+            if not t.isascii() and self.other_white(t.decode("utf-8", "replace")):
+                other[i] = (False, self._odd(t.decode("utf-8", "replace")))
+        if not other:
+            return ids, ends
+        parts = []
+        for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            follows, more = other.get(i, (True, b""))
+            parts += [ids[a:b]] * follows + [np.frombuffer(more, "<u4")]
+            sizes[i] = (b - a) * follows + len(more) // 4
+        return np.concatenate(parts), np.r_[0, np.cumsum(sizes)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.ascii_chunks(t) if t.isascii() else self.chunks(t) for t in texts]
-        known = self.memory.fill((c for chunks in split for c in chunks if len(c) <= 64), lambda new: map(self._chunk, new))
-        return [b"".join([known[c] if len(c) <= 64 else self._chunk(c) for c in chunks]) for chunks in split]
+        ids, ends = self.encode_flat([t.encode() for t in texts])
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of ids, concatenated up a tree of runs."""
         if len(ids) <= 4096:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
+            return b"".join(self.table[ids])
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+@lru_cache(2)
+def tree_coder(path: str, pattern: str) -> TreeBPE:
+    """The coder of this Python worker: later tasks find the chunks that earlier ones met."""
+    return TreeBPE.from_file(path, pattern)
+
+
 def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and `ids`, little-endian uint32, on request).
 
@@ -153,11 +259,12 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_column: str
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
 
     def make():
-        coder = TreeBPE.from_file(ranks_file, pattern)
+        coder = tree_coder(ranks_file, pattern)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = coder.encode([t.decode("utf-8", "replace") for t in texts_of(batch.column("text"))])
-            decoded = [coder.decode(np.frombuffer(r, "<u4").tolist()) for r in raw]
+            ids, ends = coder.encode_flat(texts_of(batch.column("text")))
+            runs = [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            raw, decoded = [r.tobytes() for r in runs], [coder.decode(r) for r in runs]
             columns = [batch.column("doc_id"), pa.array([len(r) // 4 for r in raw], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in v]) for v in (raw, decoded))]
             return pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, names=schema.names)
 
