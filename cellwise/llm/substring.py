@@ -203,13 +203,15 @@ def _windows(rows: DataFrame, buckets: int) -> DataFrame:
                 if not len(start):
                     continue
                 one, two = window_hashes(h, start)
+                # Equal windows have the same smallest phrase, and neighbours mostly too, so a bucket gets runs of a document.
+                place = (_sliding(phrase_hashes(signs), WINDOW - PHRASE + 1, np.minimum)[start] >> np.uint64(8)) % np.uint64(buckets)
                 text = np.searchsorted(of_text, start, side="right") - 1
                 doc, start = ids[text], start - of_text[text]
                 order = np.lexsort((doc, two, one))
-                doc, start, one, two = doc[order], start[order], one[order], two[order]
+                doc, start, one, two, place = doc[order], start[order], one[order], two[order], place[order]
                 first = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
                 least = doc[first][np.cumsum(first) - 1]
-                bucket = np.where(doc > least, -1 - (doc % buckets), (one >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+                bucket = np.where(doc > least, -1 - (doc % buckets), place.astype(np.int64)).astype(np.int64)
                 order = np.lexsort((start, doc, bucket))
                 bucket, doc, start, one, two = bucket[order], doc[order], start[order].astype(np.uint32), one[order], two[order]
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
