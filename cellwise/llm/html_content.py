@@ -178,8 +178,11 @@ def extract_content(pages: DataFrame, id_column: str = "page_id", html_column: s
     """One row per page: its id, the columns in `keep`, text (empty if none) and n_chars (code points).
 
     A null or empty html gives an empty text. Repeated rows give repeated results, an empty table an empty one; ids and kept
-    columns may be null; other columns are not looked at, but the names text and n_chars are taken.
+    columns may be null; other columns are not looked at; the names text and n_chars can't be kept (ValueError). Pages of any length
+    are taken whole, in time that grows with their length.
     """
+    if clash := {"text", "n_chars", "_html"} & {id_column, *keep}:
+        raise ValueError(f"columns {sorted(clash)} can't be kept")
     source = pages.select(id_column, *keep, F.col(html_column).cast("string").alias("_html"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     model = trained()
