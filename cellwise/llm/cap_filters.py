@@ -33,6 +33,7 @@ def _tail(d: int) -> tuple[np.ndarray, np.ndarray]:
     return u, mass / mass[0]
 
 
+@lru_cache(256)
 def plan_filters(n: int, d: int, cosine: float, bucket: int = 64, shared: float = 12.0) -> tuple[float, int]:
     """Threshold and number of directions for n vectors of d dimensions."""
     u, above = _tail(d)
@@ -150,26 +151,26 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = 0.95, id_column: st
     rows = rows.withColumn("sound", sound)
     classes = rows.where("sound").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"))
     classes = stored(classes, "vectors")
-    shapes = {r["d"]: plan_filters(r["n"], r["d"], cosine, bucket, shared) for r in classes.groupBy(F.size("vector").alias("d")).count().withColumnRenamed("count", "n").limit(1000).collect()}
-    offsets = dict(zip(sorted(shapes), np.r_[0, np.cumsum([int(np.ceil(shapes[d][1] ** (1 / 3)) + 1) ** 3 for d in sorted(shapes)])].tolist()))
+    counts = classes.groupBy(F.size("vector").alias("_d")).agg(F.count("*").alias("_n"))
+    counted = classes.join(counts, F.size("vector") == F.col("_d")).select("vector", "id", "size", "_n")
 
     schema = T.StructType([*classes.schema.fields, T.StructField("filters", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
 
     def code(batches):
         for batch in batches:
-            lists = batch.column("vector").to_pylist()
+            lists, population = batch.column("vector").to_pylist(), batch.column("_n").to_pylist()
             out: list = [None] * len(lists)
             for d in {len(v) for v in lists}:
                 at = [i for i, v in enumerate(lists) if len(v) == d]
                 x = np.array([lists[i] for i in at], float)
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for i, hit in zip(at, decode(x, *shapes[d])):
-                    out[i] = hit + offsets[d]
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(out, arrow.field("filters").type)], schema=arrow)
+                for i, hit in zip(at, decode(x, *plan_filters(population[at[0]], d, cosine, bucket, shared))):
+                    out[i] = hit + (d << 40)  # filters of each length have numbers of their own
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:3], arrow)), pa.array(out, arrow.field("filters").type)], schema=arrow)
 
-    coded = stored(classes.mapInArrow(code, schema), "coded")
+    coded = stored(counted.mapInArrow(code, schema), "coded")
     members = coded.withColumn("filter", F.explode("filters"))
     large = members.groupBy("filter").count().where(F.col("count") > BLOCK).select("filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(large, "filter", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
