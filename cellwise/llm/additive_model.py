@@ -135,6 +135,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, most_labels: int = 12
     only. A null text counts as empty and is scored; repeated rows get equal scores; an empty table gives an
     empty result; other columns pass through. Without labels every score is 0.5. held_out of a null doc_id is false.
     """
+    if prefix + "held_out" in docs.columns:
+        raise ValueError(f"column {prefix}held_out is there already; choose another prefix")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     x, y = labelled_sample(docs, labels, most_labels, only=fold != 0)
     model = fit_additive(x, y)

@@ -16,14 +16,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, only: Column
     """Features and 0/1 labels of at most `most` labelled documents, the same ones in every run.
 
     The sample has the `most` label rows with the smallest hash of doc_id, so what is broadcast and
-    collected is bounded by that parameter. Of repeated label rows of a document the smaller label counts.
+    collected is bounded by that parameter. Of repeated label rows of a document the smaller label counts, of repeated
+    rows of a document the smallest text, so that no more rows than labels are collected.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     if only is not None:
         rows = rows.where(only)
     chosen = rows.select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "quality").limit(most)
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType(), False))])
 
     def make():

@@ -28,7 +28,6 @@ GZIP_MEMBER = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 CHUNK = 1 << 18
-MOST_HEADER = 1 << 16
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit_of: int | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
@@ -135,13 +134,20 @@ class SalvageReader:
             return self._checked(offset, length, headers, data[begin : begin + n], data[begin + n :])
         if not VERSION_LINE.match(head):
             raise _Damaged("no member or version line")
-        headers, begin = self._headers(self._at(offset, MOST_HEADER))
+        headers, begin = self._headers(self._until_blank_line(offset))
         n = self._content_length(headers)
         if offset + begin + n + 4 > self.size:
             raise _Damaged("cut off")
         data = self._at(offset + begin, n + 4)
         return self._checked(offset, begin + n + 4, headers, data[:n], data[n:])
 
+    def _until_blank_line(self, offset: int) -> bytes:
+        """A record's header, of any length, with what was read beyond its blank line."""
+        out = self._at(offset, CHUNK)
+        while b"\r\n\r\n" not in out and len(more := self._at(offset + len(out), len(out))):
+            out += more
+        return out
+
     def _unpacked(self, offset: int) -> tuple[bytes, int]:
         z, out, at = zlib.decompressobj(31), [], offset
         try:
