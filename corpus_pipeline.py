@@ -32,11 +32,15 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group; repeated rows of it stay one row."""
+    """The document with the smallest doc_id of each near-duplicate group.
+
+    Of its rows that are equal in text one stays, the smallest in the other columns; rows of one id with different texts all stay.
+    """
     joined = ngram_jaccard_join(docs.select("doc_id", "text"))
     first = joined.where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, docs.doc_id == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id IS NULL"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = docs.join(first, docs.doc_id == F.col("_id"), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    return kept.select("doc_id", "text", "_rest.*").select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
