@@ -34,7 +34,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 class TreeBPE:
     """Encodes and decodes by a rank table. `leaf`: bytes up to which a string is encoded without halving."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 12, remember: int = 150_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 12, remember: int = 100_000) -> None:
         self.ranks, self.leaf, self.memory = ranks, leaf, Memory(remember)
         self.none = max(ranks.values()) + 1
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
@@ -148,7 +148,7 @@ class TreeBPE:
         for p in pieces:
             if p not in self.ranks:
                 split(p)
-        if len(self.leaf_ids) > 1 << 19:
+        if len(self.leaf_ids) > 1 << 17:
             self.leaf_ids.clear()
         new = [p for p in todo if p not in self.leaf_ids]
         if not new:

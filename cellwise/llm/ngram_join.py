@@ -37,7 +37,7 @@ WORDS = 5
 #: A signature or feature that more sets than this share is frequent.
 FREQUENT = 24
 #: Entries of a bucket, about: what one reducing task holds at once.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Core sets of a block, of which a task compares two at most.
 BLOCK = 2048
 #: Rounds in which core sets meet one central set of each signature.
@@ -193,7 +193,7 @@ def _deal_texts(rows: DataFrame, make: Callable[[pa.RecordBatch, np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 6 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 out = list(make(part, *shingle_sets(texts_of(part.column("text")))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)

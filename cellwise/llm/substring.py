@@ -116,7 +116,7 @@ def _phrases(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 h, _, _, of_text, _ = word_hashes(texts_of(part.column("text")))
                 signs = symbols(h)
@@ -185,7 +185,7 @@ def _windows(rows: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 raw = [b"".join(x) for x in part.column("phrases").to_pylist()]
                 automaton = compile_shard({x[i : i + LENGTH] for x in raw for i in range(0, len(x), LENGTH)})

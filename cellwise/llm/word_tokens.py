@@ -59,7 +59,7 @@ class WordEncoder:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, remember: int = 500_000) -> None:
+    def __init__(self, path: str, remember: int = 150_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
