@@ -1,11 +1,14 @@
 """Quality rules and the additive model."""
 
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 from cellwise.llm.additive_model import fit_additive, quality_classifier
+from cellwise.llm.dom import parse
+from cellwise.llm.html_content import extract_content
 from cellwise.llm.quality_rules import MONOTONE, fit_trees, quality_rules
 from cellwise.llm.text_stats import FEATURES, describe
 
@@ -121,3 +124,20 @@ def test_additive_score_is_a_sum_of_lookups():
     m = fit_additive(x, y)
     assert (0, 1) in m.pairs and ((m.score(x) > 0.5) == y).mean() > 0.9
     assert fit_additive(x, np.ones(500)).score(x[:3]) == pytest.approx(np.full(3, 500.5 / 501))
+
+
+def test_clashing_names_raise(spark):
+    docs = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held_out boolean")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    with pytest.raises(ValueError):
+        quality_classifier(docs, labels)
+    pages = spark.createDataFrame([(1, "<p>x", "t")], "page_id long, html string, text string")
+    with pytest.raises(ValueError):
+        extract_content(pages, keep=("text",))
+
+
+def test_junk_markup_takes_linear_time():
+    for junk in ("<p " * 300_000, "<b y='" * 200_000, "<a<a" * 200_000 + ' ">', "<div>" * 50_000 + "<li>" * 50_000, "<p " + "a" * 1_000_000 + ">x"):
+        begin = time.time()
+        parse(junk)
+        assert time.time() - begin < 20
