@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -36,9 +37,12 @@ def up_and_down(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(base, size), powers(pow(base, -1, 1 << 64), size)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], cut: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of all texts in order: hash, first byte, byte behind the last, and (for texts, one more than there are) the first
-    word of each text; and the joined bytes, in which each text is followed by one space."""
+    word of each text; and the joined bytes, in which each text is followed by one space.
+
+    `cut` gives the bytes to read in their place (as many, white space alike) and marks those inside words with which a new word begins.
+    """
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     if not len(data):
         empty = np.empty(0, np.int64)
@@ -48,6 +52,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     if not white[0]:
         edges = np.r_[0, edges]
     first, end = edges[::2], edges[1::2]
+    if cut:
+        data, inner = cut(data)
+        inner = np.flatnonzero(inner)
+        first, end = (np.sort(np.r_[x, inner], kind="stable") for x in (first, end))
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     of_text = np.searchsorted(first, np.r_[0, ends])
     # Differences of prefix sums, moved to the origin; a block at a time, so that tables of powers stay small.

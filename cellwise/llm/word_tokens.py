@@ -2,13 +2,50 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
 
-from cellwise.llm.word_hashes import word_hashes
+from cellwise.llm.word_hashes import WHITE, word_hashes
+
+
+#: Fixed value: the pattern of a file's pre-tokenizer by which `letter_runs` may cut words.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_LETTER = _UPPER | np.roll(_UPPER, 32)
+_OTHER = ~(_LETTER | WHITE)
+_OTHER[128:] = False
+_BEFORE_LETTER = _OTHER.copy()
+_BEFORE_LETTER[ord("'")] = False
+
+
+def letter_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with A-Z in lower case, and marks at the seams of words between an ASCII letter and another ASCII character.
+
+    No match of `RUNS` crosses these seams: a run of letters ends or begins there, and a contraction begins with its apostrophe, behind
+    which there is no seam. Bytes from 128 on may be letters or not, so no seam is beside them; and a letter before one keeps its
+    case, since NFC, which comes before lower-casing, composes some marks with small letters only.
+    """
+    letter, inner = _LETTER[data], np.zeros(len(data), bool)
+    inner[1:] = (letter[:-1] & _OTHER[data[1:]]) | (_BEFORE_LETTER[data[:-1]] & letter[1:])
+    lower = _UPPER[data]
+    lower[:-1] &= data[1:] < 128
+    return data + (lower * np.uint8(32)), inner
+
+
+def _cuts_letter_runs(path: str) -> bool:
+    """Whether the file lower-cases and then takes the matches of `RUNS`, each for itself."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    normal, split = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    lowers = [n["type"] for n in normal.get("normalizers", [])][-1:] == ["Lowercase"] and all(n["type"] in ("NFC", "Replace", "Lowercase") for n in normal["normalizers"])
+    first = (split.get("pretokenizers") or [{}])[0]
+    return lowers and all(n.get("pattern") == {"Regex": r"\s+"} for n in normal["normalizers"] if n["type"] == "Replace") and first.get("pattern") == {"Regex": RUNS} and first.get("behavior") == "Removed" and first.get("invert") is True
 
 
 class Memory:
@@ -53,8 +90,8 @@ def gathered(key: np.ndarray, begin: np.ndarray, end: np.ndarray, of_text: np.nd
 class WordEncoder:
     """Ids as `tokenizers` gives them for whole texts (add_special_tokens=False, special strings are ordinary text).
 
-    The file's rules never look across white space, so a text's ids are those of its words in order. New words are
-    encoded many at once with a separator word between them.
+    The file's rules never look across white space, so a text's ids are those of its words in order. Words are cut
+    further, by `letter_runs`, where the file's rules are of that kind. New words are encoded many at once with a separator word between them.
     """
 
     MARK = "\x01"
@@ -67,6 +104,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         (self.mark,) = self._one(self.MARK)
         self.memory = Memory(remember)
+        self.cut = letter_runs if _cuts_letter_runs(path) else None
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -90,7 +128,7 @@ class WordEncoder:
 
     def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin (and the end)."""
-        h, first, end, of_text, data = word_hashes(texts)
+        h, first, end, of_text, data = word_hashes(texts, self.cut)
         return gathered(h, first, end, of_text, data, self.memory, self._new)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
