@@ -91,7 +91,8 @@ class WordEncoder:
     """Ids as `tokenizers` gives them for whole texts (add_special_tokens=False, special strings are ordinary text).
 
     The file's rules never look across white space, so a text's ids are those of its words in order. Words are cut
-    further, by `letter_runs`, where the file's rules are of that kind. New words are encoded many at once with a separator word between them.
+    further, by `letter_runs`, where the file's rules are of that kind. New words are encoded many at once: runs of ASCII
+    letters side by side, since each one's last id alone has the suffix of word ends, others with a separator behind each.
     """
 
     MARK = "\x01"
@@ -104,27 +105,41 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         (self.mark,) = self._one(self.MARK)
         self.memory = Memory(remember)
-        self.cut = letter_runs if _cuts_letter_runs(path) else None
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.marks, self.last = np.zeros(size, bool), np.zeros(size, bool)
+        self.marks[self.mark] = True
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.last[[i for word, i in vocabulary.items() if suffix and word.endswith(suffix)]] = True
+        self.cut = letter_runs if suffix and _cuts_letter_runs(path) else None
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _new(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
-        texts = [w.decode("utf-8", "replace") for w in words]
         out: list[bytes] = [b""] * len(words)
-        plain = [i for i, t in enumerate(texts) if self.MARK not in t and len(t) < 1000]
-        for i in {*range(len(words))} - {*plain}:
+        alone = [i for i, w in enumerate(words) if self.cut and w.isalpha() and len(w) < 1000]
+        rest = set(range(len(words))).difference(alone)
+        texts = {i: words[i].decode("utf-8", "replace") for i in rest}
+        plain = [i for i, t in texts.items() if self.MARK not in t and len(t) < 1000]
+        for i in rest.difference(plain):
             out[i] = np.array(self._one(texts[i]), "<u4").tobytes()
-        runs = [plain[k : k + 50] for k in range(0, len(plain), 50)]
-        joined = [f" {self.MARK} ".join([texts[i] for i in part]) for part in runs]
-        for part, found in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) if joined else []):
+        self._runs(alone, lambda part: b" ".join([words[i] for i in part]).decode(), self.last, 0, out)
+        self._runs(plain, lambda part: f" {self.MARK} ".join([texts[i] for i in part]) + f" {self.MARK}", self.marks, 1, out)
+        return out
+
+    def _runs(self, which: list[int], join: Callable[[list[int]], str], closing: np.ndarray, dropped: int, out: list[bytes]) -> None:
+        """Encode words 50 at a time. Each one's ids end with one that is `closing`; the last `dropped` ids are not the word's."""
+        parts = [which[k : k + 50] for k in range(0, len(which), 50)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([join(p) for p in parts], add_special_tokens=False) if parts else []):
             ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark).tolist()
+            ends = (np.flatnonzero(closing[ids]) + 1).tolist()
             raw = ids.tobytes()
-            for i, a, b in zip(part, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
-                out[i] = raw[4 * a : 4 * b]
-        return out
+            for i, a, b in zip(part, [0, *ends], ends):
+                out[i] = raw[4 * a : 4 * (b - dropped)]
+            if len(ends) != len(part):
+                raise ValueError("a run of words and its ids do not match")
 
     def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin (and the end)."""
