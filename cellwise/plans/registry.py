@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellwise.plans import compositions, core, reports, statistics
+from cellwise.plans import compositions, core, relations, reports, statistics
 
-QUERIES = core.QUERIES | statistics.QUERIES | reports.QUERIES | compositions.QUERIES
-ORACLES = core.ORACLES | statistics.ORACLES | reports.ORACLES | compositions.ORACLES
+QUERIES = core.QUERIES | statistics.QUERIES | reports.QUERIES | compositions.QUERIES | relations.QUERIES
+ORACLES = core.ORACLES | statistics.ORACLES | reports.ORACLES | compositions.ORACLES | relations.ORACLES
