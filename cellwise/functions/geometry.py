@@ -52,3 +52,9 @@ def block_of(cell: Column, size: int = 5) -> Column:
 def circular_distance(a: Column, b: Column, period: float = 360.0) -> Column:
     d = F.abs(F.pmod(a - b, F.lit(period)))
     return F.least(d, period - d)
+
+
+def local_cell(lat: Column, lon: Column, middle: Column, size: float = 1000.0) -> tuple[Column, Column]:
+    """East and north cell of a local equirectangular grid; `middle` is the latitude whose cosine (0.01 at least) scales longitudes."""
+    scale = F.greatest(F.cos(F.radians(middle)), F.lit(0.01))
+    return F.floor(F.radians(lon) * EARTH_M * scale / size).cast("long"), F.floor(F.radians(lat) * EARTH_M / size).cast("long")

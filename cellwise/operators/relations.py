@@ -54,8 +54,8 @@ def strongest_examples(scores: DataFrame, thresholds: DataFrame, patterns: DataF
     """
     sizes = patterns.groupBy("pattern").agg(F.count("*").alias("_size"))
     ratio = F.col(score) / F.col("threshold")
-    hits = scores.join(thresholds, unit).where(ratio >= 1).join(F.broadcast(patterns), unit).groupBy("pattern", row).agg(F.min(ratio).alias("strength"), F.count("*").alias("_n"))
-    whole = hits.join(F.broadcast(sizes), "pattern").where("_n = _size").select("pattern", row, "strength").join(rows, row)
+    hits = scores.join(thresholds, unit).where(ratio >= 1).join(patterns, unit).groupBy("pattern", row).agg(F.min(ratio).alias("strength"), F.count("*").alias("_n"))
+    whole = hits.join(sizes, "pattern").where("_n = _size").select("pattern", row, "strength").join(rows, row)
     placed = whole.withColumn("_block", F.struct(*(b.alias(f"b{i}") for i, b in enumerate(block))))
     order = F.struct(F.col("strength"), -F.col(row))
     picks = placed.groupBy("pattern", group, "_block").agg(F.max_by(F.struct(row, "strength"), order).alias("_p")).select("pattern", group, "_p.*")
@@ -163,3 +163,11 @@ def evidence_flags(rules: list[tuple[str, Column]], otherwise: str) -> tuple[Col
     """The names of all rules that hold, in order, joined by commas, and the first of them as the status; a null condition does not hold."""
     held = F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in rules)))
     return F.array_join(held, ","), F.coalesce(*(F.when(condition, F.lit(name)) for name, condition in rules), F.lit(otherwise))
+
+
+def exclusion_reason(df: DataFrame, families: DataFrame, labels: DataFrame) -> DataFrame:
+    """`df` with `reason`: that of its family in `families` (family, reason), else of its family and label in `labels` (family, label,
+    reason), else null (kept). Each key stands once in a rule table."""
+    whole, single = families.withColumnRenamed("reason", "_whole"), labels.withColumnRenamed("reason", "_single")
+    joined = df.join(whole, "family", "left").join(single, ["family", "label"], "left")
+    return joined.withColumn("reason", F.coalesce("_whole", "_single")).drop("_whole", "_single")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwise.functions.geometry import local_cell
 from cellwise.operators import association, graph, ranking
 from cellwise.operators import relations as ops
 from cellwise.operators.profiles import cosine_pairs
@@ -250,3 +251,23 @@ def equivalence_groups(spark, d):
     labelled = ids.join(groups.toDF("unit", "group_id"), "unit", "left").withColumn("group_id", F.coalesce("group_id", "unit"))
     canonical = labelled.groupBy("group_id").agg(F.min(F.struct(-F.col("support"), F.col("unit").alias("unit"))).alias("m")).select("group_id", F.col("m.unit").alias("canonical"))
     return labelled.join(canonical, "group_id").select("unit", "group_id", "canonical")
+
+
+@query(""", p AS (SELECT city, gy * 0.0137 + 40.0031 AS lat, gx * 0.0171 - 0.3029 AS lon FROM rows_), m AS (SELECT city, greatest(cos(radians(median(lat))), 0.01) AS c FROM p GROUP BY 1)
+SELECT city, CAST(floor(radians(lon) * 6371000.0 * c / 1000) AS BIGINT) AS east, CAST(floor(radians(lat) * 6371000.0 / 1000) AS BIGINT) AS north, count(*) AS n FROM p JOIN m USING (city) GROUP BY ALL""")
+def local_cells(spark, d):
+    """Rows by cell of a local grid of one kilometre, scaled at each city's median latitude (exact, from its distinct latitudes)."""
+    places = rows(spark, d).select("city", (F.col("gy") * F.lit(0.0137) + F.lit(40.0031)).alias("lat"), (F.col("gx") * F.lit(0.0171) - F.lit(0.3029)).alias("lon"))
+    middle = places.groupBy("city").agg(F.percentile("lat", F.lit(0.5)).alias("middle"))
+    east, north = local_cell(F.col("lat"), F.col("lon"), F.col("middle"))
+    return places.join(middle, "city").groupBy("city", east.alias("east"), north.alias("north")).agg(F.count("*").alias("n"))
+
+
+@query(""", f(family, whole) AS (VALUES ('PROMO', 'passing family')), l(family, unit, single) AS (VALUES ('SMALL', 'Brand#3', 'movable'), ('SMALL', 'Brand#7', 'movable'), ('PROMO', 'Brand#3', 'movable'), ('LARGE', 'Brand#12', 'temporary'))
+SELECT item, family, unit AS label, coalesce(whole, single) AS reason FROM dims LEFT JOIN f USING (family) LEFT JOIN l USING (family, unit)""")
+def exclusion_reason(spark, d):
+    """Parts with the reason that takes them out of the landscape, by type or by type and brand; null for those that stay."""
+    families = spark.createDataFrame([("PROMO", "passing family")], "family string, reason string")
+    labels = spark.createDataFrame([("SMALL", "Brand#3", "movable"), ("SMALL", "Brand#7", "movable"), ("PROMO", "Brand#3", "movable"), ("LARGE", "Brand#12", "temporary")], "family string, label string, reason string")
+    parts = dims(spark, d).select("item", "family", F.col("unit").alias("label"))
+    return ops.exclusion_reason(parts, families, labels).select("item", "family", "label", "reason")
