@@ -14,11 +14,14 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def web_mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """x and y in metres; latitudes are clipped to the projection's square."""
+def web_mercator(lat: Column, lon: Column, clip: bool = True) -> tuple[Column, Column]:
+    """x and y in metres; latitudes are clipped to the projection's square, or go into the formula as they are (y is NaN where its logarithm has no value)."""
     radius, edge = 6_378_137.0, 85.05112878
-    lat = F.greatest(F.least(lat, F.lit(edge)), F.lit(-edge))
-    return F.radians(lon) * radius, F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2)) * radius
+    if clip:
+        lat = F.greatest(F.least(lat, F.lit(edge)), F.lit(-edge))
+    t = F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2)
+    log = F.when(t > 0, F.log(t)).when(t == 0, F.lit(float("-inf"))).when(t.isNotNull(), F.lit(float("nan")))
+    return F.radians(lon) * radius, log * radius
 
 
 def utm_epsg(lat: Column, lon: Column) -> Column:

@@ -3,11 +3,13 @@
 from itertools import combinations
 from math import comb, sqrt
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
-from oracle import TABLES, database
+from oracle import TABLES, database, rows_of
 
-from cellwise.plans.registry import QUERIES
+from cellwise.plans.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +100,23 @@ def test_transitive_reduction_of_a_long_path_with_shortcuts(spark):
     edges = [(i, i + 1) for i in range(20)] + [(0, 20), (3, 9), (5, 7), (2, 100)]
     got = graph.transitive_reduction(spark.createDataFrame(edges, "u int, v int")).collect()
     assert {(r.u, r.v) for r in got} == {*edges[:20], (2, 100)}
+
+
+def test_grid_projections_of_many_cells(spark, tmp_path):
+    cells = [(gx, gy) for gx in (0, 17, 30, 39) for gy in (0, 17, 37, 38, 39, 60, 375, 1400, 22_499)]
+    db = duckdb.connect()
+    tables = {
+        "customer": pd.DataFrame({"c_custkey": [40 * gy + gx for gx, gy in cells], "c_nationkey": 1}),
+        "orders": pd.DataFrame({"o_orderkey": range(len(cells)), "o_custkey": [40 * gy + gx for gx, gy in cells], "o_totalprice": 1.0, "o_orderdate": pd.Timestamp("2020-01-01")}),
+        "nation": pd.DataFrame({"n_nationkey": [1], "n_name": ["A"]}),
+        "lineitem": pd.DataFrame({"l_orderkey": [0], "l_partkey": [0], "l_quantity": [1.0]}),
+        "part": pd.DataFrame({"p_partkey": [0], "p_type": ["a"], "p_brand": ["b"], "p_name": ["c"]}),
+    }
+    for name, table in tables.items():
+        db.register("table_", table)
+        db.sql(f"COPY table_ TO '{tmp_path}/{name}.parquet'")
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    found = QUERIES["grid_projections"](spark, str(tmp_path))
+    wanted = db.sql(ORACLES["grid_projections"]).df()
+    assert found.where("my IS NULL").count() == 0 and wanted.my.isna().any()
+    assert rows_of(found.toPandas()) == rows_of(wanted)
