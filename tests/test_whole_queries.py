@@ -1,11 +1,14 @@
 """Registered queries without SQL against brute force over the whole of the smallest tables."""
 
+import os
 from itertools import combinations
 from math import comb, sqrt
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from oracle import TABLES, database, rows_of
 
@@ -120,3 +123,35 @@ def test_grid_projections_of_many_cells(spark, tmp_path):
     wanted = db.sql(ORACLES["grid_projections"]).df()
     assert found.where("my IS NULL").count() == 0 and wanted.my.isna().any()
     assert rows_of(found.toPandas()) == rows_of(wanted)
+
+
+@pytest.fixture(scope="module")
+def odd_vectors(tmp_path_factory):
+    """Embeddings with copies, multiples, opposites, zero, null and infinite vectors, missing labels, repeated ids, a label of one."""
+    random = np.random.default_rng(3)
+    x = random.standard_normal((300, 64)).astype(np.float32)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)]
+    rows += [(1000 + i, x[7].tolist(), 1) for i in range(40)] + [(1100 + i, (x[10] * (1 + i)).tolist(), 1) for i in range(30)] + [(1200 + i, (-x[i]).tolist(), i % 3) for i in range(20)]
+    rows += [(1300 + i, [0.0] * 64, 2) for i in range(4)] + [(1310, [float("inf")] + [1.0] * 63, 2), (1311, [0.0] * 32 + x[5, 32:].tolist(), 2), (1312, None, 2), (1313, None, 5), (1314, x[3].tolist(), 5), (1315, x[4].tolist(), 5)]
+    rows += [(1320, x[0].tolist(), None), (None, x[0].tolist(), 0), (1330, x[0].tolist(), 6), (3, x[30].tolist(), 0), (3, x[3].tolist(), 0), (-5, x[1].tolist(), 1), (-6, x[1].tolist(), 1)]
+    table = pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32())), "label": pa.array([r[2] for r in rows], pa.int32())})
+    folder = tmp_path_factory.mktemp("vectors")
+    for name in os.listdir(TABLES):
+        if name != "embeddings.parquet":
+            os.symlink(f"{TABLES}/{name}", folder / name)
+    pq.write_table(table, folder / "embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("chunk", [8192, 50])
+@pytest.mark.parametrize("name", ["cosine_knn"])
+def test_nearest_of_odd_vectors(spark, odd_vectors, monkeypatch, name, chunk):
+    from cellwise.operators import joins
+
+    monkeypatch.setattr(joins, "CHUNK", chunk)
+    monkeypatch.setattr(joins, "LEAST", chunk // 8)
+    db = duckdb.connect()
+    for table in os.listdir(odd_vectors):
+        db.sql(f"CREATE VIEW {table[:-8]} AS SELECT * FROM '{odd_vectors}/{table}'")
+    found, wanted = QUERIES[name](spark, odd_vectors).toPandas(), db.sql(ORACLES[name]).df()
+    assert rows_of(found) == rows_of(wanted) and len(found) > 50
