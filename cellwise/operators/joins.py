@@ -186,7 +186,7 @@ def nearest_vectors(vectors: DataFrame, key: str, vector: str, k: int, blocks: l
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
 
 
-def mutual_best(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
-    """Pairs that are each other's best; ties go to the smaller partner. Both bests are aggregations, so no group is sorted."""
-    best = lambda side, other: pairs.groupBy(side).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(other)).alias("o"))).alias("_best")).select(side, (-F.col("_best.o")).alias(other), F.col("_best.s").alias(score))
-    return best(left, right).join(best(right, left).select(left, right), [left, right])
+def mutual_nearest(left: DataFrame, right: DataFrame, key: str, vector: str, blocks: list[str]) -> DataFrame:
+    """Pairs (left, right, similarity) of the same block that are each other's nearest; ties go to the smaller partner."""
+    of = lambda a, b, x, y: nearest_vectors(a, key, vector, 1, blocks, b).select(F.col(key).alias(x), F.col("other").alias(y), "similarity")
+    return of(left, right, "left", "right").join(of(right, left, "right", "left").select("left", "right"), ["left", "right"])
