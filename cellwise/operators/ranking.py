@@ -62,9 +62,11 @@ def collapse_runs(df: DataFrame, group: str, order: list[str], value: str) -> Da
     return df.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col(value))).drop("_b")
 
 
-def rank_fusion(views: DataFrame, view: str, left: str, right: str, similarity: str, k: int) -> DataFrame:
-    """Fuse similarity views: 1 - (rank - 1) / k for the k nearest in each view, averaged over the views and made symmetric."""
-    count = views.select(view).distinct().agg(F.count("*").alias("_views"))
+def rank_fusion(views: DataFrame, view: str, left: str, right: str, similarity: str, k: int, count: int | None = None) -> DataFrame:
+    """Fuse similarity views: 1 - (rank - 1) / k for the k nearest in each view, averaged over the views (`count` of them; counted if None) and made symmetric."""
+    of = views.select(view).distinct().agg(F.count("*").alias("_views")) if count is None else None
     near = top_k(views.where(F.col(left) != F.col(right)), [view, left], [F.desc(similarity), F.col(right)], k)
     score = near.withColumn("_s", 1 - (F.col("rank") - 1) / k).select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"), "_s")
-    return score.groupBy("a", "b").agg((F.sum("_s") / 2).alias("_s")).join(F.broadcast(count)).select("a", "b", (F.col("_s") / F.col("_views")).alias("score"))
+    fused = score.groupBy("a", "b").agg((F.sum("_s") / 2).alias("_s"))
+    fused = fused.withColumn("_views", F.lit(count)) if of is None else fused.join(F.broadcast(of))
+    return fused.select("a", "b", (F.col("_s") / F.col("_views")).alias("score"))

@@ -144,7 +144,7 @@ def odd_vectors(tmp_path_factory):
 
 
 @pytest.mark.parametrize("chunk", [8192, 50])
-@pytest.mark.parametrize("name", ["cosine_knn", "mutual_best_match"])
+@pytest.mark.parametrize("name", ["cosine_knn", "mutual_best_match", "rank_fusion"])
 def test_nearest_of_odd_vectors(spark, odd_vectors, monkeypatch, name, chunk):
     from cellwise.operators import joins
 
