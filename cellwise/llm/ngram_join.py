@@ -162,17 +162,30 @@ _PAIRS = to_arrow_schema(PAIRS)
 
 
 def _packed(buckets: int, key: np.ndarray, value: np.ndarray, more: np.ndarray | None = None) -> Iterator[tuple]:
-    """Entries (key, value) by bucket of the value's upper half; only the lower half is stored. Equal neighbours of one key share it."""
+    """Entries (key, value) by bucket of the value's upper half; only the lower half is stored. Neighbours whose keys differ in the lowest
+    bit at most, the even one first, share a record: the key without that bit, a byte with the count for each bit, and one `more`.
+    So what a set costs in a bucket besides its values, which weighs more the more buckets there are, is 10 bytes."""
     bucket = ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, key, value = bucket[order], key[order], value[order].astype(np.uint32)
-    more = more[order] if more is not None else None
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else [0]
-    for a, b in zip(edges, edges[1:]):
-        k = key[a:b]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        counts = np.diff(np.r_[first, b - a]).astype(np.uint32)
-        yield int(bucket[a]), k[first].tobytes(), counts.tobytes(), value[a:b].tobytes(), more[a:b][first].tobytes() if more is not None else b""
+    if not len(bucket):
+        return
+    run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
+    counts = np.diff(np.r_[run, len(key)])
+    if counts.max() > 255:
+        n = -(-counts // 255)
+        part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        run, counts = np.repeat(run, n) + 255 * part, np.minimum(np.repeat(counts, n) - 255 * part, 255)
+    base, bit = key[run] >> 1, key[run] & 1
+    new = np.r_[True, (base[1:] != base[:-1]) | (bit[1:] <= bit[:-1]) | (bucket[run[1:]] != bucket[run[:-1]])]
+    both = np.zeros((np.count_nonzero(new), 2), np.uint8)
+    both[np.cumsum(new) - 1, bit] = counts
+    base, first = base[new], run[new]
+    more = more[order[first]] if more is not None else None
+    edges = np.flatnonzero(np.r_[True, bucket[first[1:]] != bucket[first[:-1]]])
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(first)]):
+        end = first[b] if b < len(first) else len(value)
+        yield int(bucket[first[a]]), base[a:b].tobytes(), both[a:b].tobytes(), value[first[a] : end].tobytes(), more[a:b].tobytes() if more is not None else b""
 
 
 def _frequent_here(values: np.ndarray) -> np.ndarray:
@@ -210,12 +223,15 @@ def _deal_signatures(rows: DataFrame, buckets: int) -> DataFrame:
         once = np.zeros(len(keys), bool)
         once[np.unique(keys, return_index=True)[1]] = True
         once &= keys > 0
-        key, sig = [], []
+        place, sig = [], []
         for role in (0, 1):
             who, s, _ = signatures(flat, first, role)
             on = once[who]
-            key.append(2 * keys[who[on]] + role), sig.append(s[on])
-        key, sig = np.concatenate(key), np.concatenate(sig)
+            place.append(2 * who[on] + role), sig.append(s[on])
+        place, sig = np.concatenate(place), np.concatenate(sig)
+        order = np.argsort(place, kind="stable")  # both roles of a set side by side
+        place, sig = place[order], sig[order]
+        key = 2 * keys[place >> 1] + (place & 1)
         hot = _frequent_here(sig)
         if hot.any():
             k, s = key[hot], sig[hot]
@@ -253,14 +269,14 @@ def _deal_features(rows: DataFrame, buckets: int) -> DataFrame:
 def _entries(table: pa.Table, more: type | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Key, value and further field of all entries of a bucket whose value occurs more than once."""
     of = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    counts, value = of("counts", np.uint32), of("values", np.uint32)
+    counts, value = of("counts", np.uint8), of("values", np.uint32)
     at = np.arange(len(value))
     for shift in (0, 10):  # alone in a cell of a table: alone
         bits = min(32 - shift, max(10, int(len(at)).bit_length() + 1))
         cell = (value[at] >> np.uint32(shift)) & np.uint32((1 << bits) - 1)
         at = at[np.bincount(cell, minlength=1 << bits)[cell] > 1]
-    owner = np.searchsorted(np.cumsum(counts), at, side="right")
-    return of("keys", np.int64)[owner], value[at], of("more", more)[owner] if more else None
+    owner = np.searchsorted(np.cumsum(counts, dtype=np.int64), at, side="right")
+    return 2 * of("keys", np.int64)[owner >> 1] + (owner & 1), value[at], of("more", more)[owner >> 1] if more else None
 
 
 def _runs(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -356,7 +372,9 @@ def _deal_core(rows: DataFrame, buckets: int) -> DataFrame:
         which = np.repeat(np.arange(part.num_rows), np.diff(first))
         thin = np.array(part.column("thin").to_pylist(), bool)[which]
         key.append(2 * of("k")[which[thin]]), sig.append(mixed(flat[thin] ^ _MIX[3])), more.append(facts[which[thin]])
-        yield from _packed(buckets, *map(np.concatenate, (key, sig, more)))
+        key, sig, more = map(np.concatenate, (key, sig, more))
+        order = np.argsort(key, kind="stable")
+        yield from _packed(buckets, key[order], sig[order], more[order])
 
     return _deal_texts(rows, make)
 

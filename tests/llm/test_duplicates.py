@@ -251,3 +251,22 @@ def test_equal_vectors_link_with_each_other(spark):
 
 def test_digest_of_kept_words_is_plain_utf8():
     assert hashlib.sha256(b" ".join("é ü".encode().split())).hexdigest() == hashlib.sha256("é ü".encode()).hexdigest()
+
+
+def test_packed_entries_are_small_and_whole():
+    random = np.random.default_rng(5)
+    key = np.sort(np.r_[np.repeat(2 * random.integers(1, 1 << 61, 200), 150) + random.integers(0, 2, 30_000), np.zeros(700, np.int64), np.repeat(np.int64(2 * (1 << 61) + 1), 40_000)])
+    value = random.integers(0, 1 << 63, len(key)).astype(np.uint64)
+    value[::2] = value[1::2]  # each lower half occurs twice, so no entry is left out
+    more = (key >> 1).astype(np.int32)
+    bucket = (value >> np.uint64(32)) % np.uint64(40)
+    rows = list(ngram_join._packed(40, key, value, more))
+    assert sorted(r[0] for r in rows) == list(range(40)) and not list(ngram_join._packed(40, key[:0], value[:0]))
+    for row in rows:
+        table = pa.table([pa.array([c]) for c in row], names=ngram_join.DEALT.names)
+        k, v, m = ngram_join._entries(table, np.int32)
+        on = bucket == row[0]
+        order, wanted = np.lexsort((v, k)), np.lexsort((value[on].astype(np.uint32), key[on]))
+        assert (k[order] == key[on][wanted]).all() and (v[order] == value[on].astype(np.uint32)[wanted]).all() and (m == (k >> 1).astype(np.int32)).all()
+    small = slice(700, 30_700)
+    assert sum(len(x) for r in ngram_join._packed(40, key[small], value[small]) for x in r[1:]) <= 30_000 * 4 + 200 * 40 * 10
