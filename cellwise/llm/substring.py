@@ -7,7 +7,8 @@
    automaton; its size is bounded by the slice, not by the corpus. Documents without a confirmed phrase
    can't hold a repeated run, so no shard has anything for them.
 3. Stream the slice's documents, as symbols, through the shard: it alone finds where phrases occur. Every occurrence gives the
-   50-word windows around it, and of each window (by a 128-bit hash of its words) the smallest document is found.
+   50-word windows whose phrase it is (equal windows have the same one), and of each window (by a 96-bit hash of its words) the
+   smallest document is found. Windows travel by runs of neighbours, with a start and a length for each run.
 """
 
 from __future__ import annotations
@@ -63,6 +64,15 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(backward[:n], forward[width - 1 : width - 1 + n])
 
 
+def _in_one_text(of_text: np.ndarray) -> np.ndarray:
+    """Whether a window begins and ends in one text, by its first word."""
+    fits = np.zeros(of_text[-1] - WINDOW + 2, np.int64)
+    long = np.diff(of_text) >= WINDOW
+    fits[of_text[:-1][long]] += 1
+    np.add.at(fits, of_text[1:][long] - WINDOW + 1, -1)
+    return np.cumsum(fits[:-1]) > 0
+
+
 def chosen_phrases(signs: np.ndarray, of_text: np.ndarray) -> np.ndarray:
     """First words of the phrases with the smallest hash of some window of one text."""
     w = WINDOW - PHRASE + 1
@@ -70,11 +80,7 @@ def chosen_phrases(signs: np.ndarray, of_text: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     g = phrase_hashes(signs)
     least = _sliding(g, w, np.minimum)
-    fits = np.zeros(len(least) + 1, np.int64)  # windows that begin and end in one text
-    long = np.diff(of_text) >= WINDOW
-    fits[of_text[:-1][long]] += 1
-    np.add.at(fits, of_text[1:][long] - WINDOW + 1, -1)
-    least = np.where(np.cumsum(fits[:-1]) > 0, least, np.uint64(0))
+    least = np.where(_in_one_text(of_text), least, np.uint64(0))
     around = np.zeros(len(least) + 2 * (w - 1), np.uint64)
     around[w - 1 : w - 1 + len(least)] = least
     return np.flatnonzero(_sliding(around, w, np.maximum) == g)
@@ -98,7 +104,7 @@ def window_hashes(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 PHRASES = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("docs", "known", "signs"))])
 HELD = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("phrases", T.BinaryType())])
 DEALT = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("docs", "counts", "starts", "hash1", "hash2"))])
-REPEATS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("starts", T.BinaryType())])
+REPEATS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("runs", T.BinaryType())])
 
 
 def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -175,11 +181,17 @@ def occurrences(automaton: ahocorasick.Automaton, signs: np.ndarray) -> np.ndarr
     return last // SYMBOLS - PHRASE + 1
 
 
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of neighbouring windows of a document begin in windows by document and start, and how many windows each has."""
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.empty(0, np.int64)
+    return new, np.diff(np.r_[new, len(doc)]).astype(np.uint32)
+
+
 def _windows(rows: DataFrame, buckets: int) -> DataFrame:
-    """Windows around confirmed phrases (doc_id, text, phrases), packed by bucket.
+    """Windows whose smallest phrase is confirmed (doc_id, text, phrases), packed by bucket.
 
     Of equal windows in a slice, only those of the smallest document go on; the others are known to be repeats
-    and go to a negative bucket as they are.
+    and go to a negative bucket without their hashes.
     """
     arrow = to_arrow_schema(DEALT)
 
@@ -192,19 +204,22 @@ def _windows(rows: DataFrame, buckets: int) -> DataFrame:
                 if automaton is None:
                     continue
                 h, _, _, of_text, _ = word_hashes(texts_of(part.column("text")))
-                edges = np.zeros(len(h) + 2, np.int64)
+                if len(h) < WINDOW:
+                    continue
                 signs = symbols(h)
+                g = phrase_hashes(signs)
+                occurs = np.zeros(len(g), bool)
                 for a, b in zip(of_text.tolist(), of_text[1:].tolist()):
                     if b - a >= WINDOW:
-                        at = a + occurrences(automaton, signs[a:b])
-                        np.add.at(edges, np.clip(at - (WINDOW - PHRASE), a, b - WINDOW + 1), 1)
-                        np.add.at(edges, np.minimum(at, b - WINDOW) + 1, -1)
-                start = np.flatnonzero(np.cumsum(edges) > 0)
+                        occurs[a + occurrences(automaton, signs[a:b])] = True
+                least = _sliding(g, WINDOW - PHRASE + 1, np.minimum)
+                confirmed = _sliding(np.where(occurs, g, ~np.uint64(0)), WINDOW - PHRASE + 1, np.minimum)
+                start = np.flatnonzero((confirmed == least) & _in_one_text(of_text))
                 if not len(start):
                     continue
                 one, two = window_hashes(h, start)
                 # Equal windows have the same smallest phrase, and neighbours mostly too, so a bucket gets runs of a document.
-                place = (_sliding(phrase_hashes(signs), WINDOW - PHRASE + 1, np.minimum)[start] >> np.uint64(8)) % np.uint64(buckets)
+                place = (least[start] >> np.uint64(8)) % np.uint64(buckets)
                 text = np.searchsorted(of_text, start, side="right") - 1
                 doc, start = ids[text], start - of_text[text]
                 order = np.lexsort((doc, two, one))
@@ -213,46 +228,58 @@ def _windows(rows: DataFrame, buckets: int) -> DataFrame:
                 least = doc[first][np.cumsum(first) - 1]
                 bucket = np.where(doc > least, -1 - (doc % buckets), place.astype(np.int64)).astype(np.int64)
                 order = np.lexsort((start, doc, bucket))
-                bucket, doc, start, one, two = bucket[order], doc[order], start[order].astype(np.uint32), one[order], two[order]
+                bucket, doc, start, one, two = bucket[order], doc[order], start[order].astype(np.uint32), one[order], (two[order] >> np.uint64(32)).astype(np.uint32)
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
                 out = []
                 for a, b in zip(edges, edges[1:]):
-                    d = doc[a:b]
-                    new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                    new, counts = _runs(doc[a:b], start[a:b])
                     more = (one[a:b].tobytes(), two[a:b].tobytes()) if bucket[a] >= 0 else (b"", b"")
-                    out.append((int(bucket[a]), d[new].tobytes(), np.diff(np.r_[new, b - a]).astype(np.uint32).tobytes(), start[a:b].tobytes(), *more))
+                    out.append((int(bucket[a]), doc[a:b][new].tobytes(), counts.tobytes(), start[a:b][new].tobytes(), *more))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     return rows.mapInArrow(run, DEALT)
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Windows of a bucket that a smaller document has too, by document."""
+    """Windows of a bucket that a smaller document has too: runs (start, number of windows) by document."""
     of = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    doc, start = np.repeat(of("docs", np.int64), of("counts", np.uint32)), of("starts", np.uint32)
+    doc, counts, start = of("docs", np.int64), of("counts", np.uint32).astype(np.int64), of("starts", np.uint32)
     if table.column("bucket")[0].as_py() >= 0:
-        one, two = of("hash1", np.uint64), of("hash2", np.uint64)
+        start = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        doc, start = np.repeat(doc, counts), start.astype(np.uint32)
+        one, two = of("hash1", np.uint64), of("hash2", np.uint32)
         order = np.lexsort((doc, two, one))
         doc, start, one, two = doc[order], start[order], one[order], two[order]
         first = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
         later = doc > doc[first][np.cumsum(first) - 1]
         doc, start = doc[later], start[later]
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        new, counts = _runs(doc, start)
+        doc, start = doc[new], start[new]
+    else:
+        order = np.argsort(doc, kind="stable")
+        doc, start, counts = doc[order], start[order], counts[order]
+    runs = np.stack([start, counts.astype(np.uint32)], 1)
     edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else [0]
-    return pa.table([pa.array(doc[edges[:-1]], pa.int64()), pa.array([start[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], schema=to_arrow_schema(REPEATS))
+    return pa.table([pa.array(doc[edges[:-1]], pa.int64()), pa.array([runs[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], schema=to_arrow_schema(REPEATS))
 
 
 def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and `starts` (a list of packed uint32 arrays): the first words of its windows that a document with a smaller id has too."""
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    """_doc and _starts (a list of packed pairs of uint32): runs of windows that a document with a smaller id has too, by first word and number."""
+    key = F.col(id_column).cast("long")
+    source = docs.select(key.alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     # A text has at most one window for every two of its bytes, and on these six; a line that repeats counts as often as it occurs.
     buckets = max(8, (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 // BUCKET)
     phrases = _phrases(source, buckets).groupBy("bucket").applyInArrow(_recurring, HELD)
-    held = stored(phrases, "held").groupBy("doc_id").agg(F.collect_list("phrases").alias("phrases"))
-    dealt = _windows(source.join(held, "doc_id"), buckets)
+    held = stored(phrases, "held").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("phrases").alias("_starts"))
+    # All columns and no condition on the text, so that this shuffle of the documents is the one that `substring_dedup` joins with, too.
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (id_column.lower(), text_column.lower())]
+    rest = [F.struct(*others).alias("rest")] if others else []
+    rows = docs.where(key.isNotNull()).join(held, key == F.col("_doc"))
+    dealt = _windows(rows.select(F.col("_doc").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col("_starts").alias("phrases"), *rest), buckets)
     found = dealt.groupBy("bucket").applyInArrow(_later, REPEATS)
-    return stored(found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "repeats")
+    return found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("runs").alias("_starts"))
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", prefix: str = "") -> DataFrame:
@@ -266,8 +293,10 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     names = [prefix + n for n in ("n_words", "n_removed", "kept_text")]
     if clash := {*names, "_starts", "_doc"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already; choose another prefix")
-    starts = repeated_windows(docs, id_column, text_column).select(F.col("doc_id").alias("_doc"), F.col("starts").alias("_starts"))
-    rows = docs.join(starts, docs[id_column].cast("long") == starts["_doc"], "left").drop("_doc")
+    key = F.col(id_column).cast("long")
+    starts = repeated_windows(docs, id_column, text_column)
+    rows = docs.where(key.isNotNull()).join(starts, key == F.col("_doc"), "left").drop("_doc")
+    rows = rows.union(docs.where(key.isNull()).withColumn("_starts", F.lit(None).cast("array<binary>")))
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.StringType())])
     old = to_arrow_schema(docs.schema)
 
@@ -279,10 +308,11 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 n.append(len(words))
                 if lists:
                     edges = np.zeros(len(words) + 1, np.int64)
-                    at = np.frombuffer(b"".join(lists), np.uint32).astype(np.int64)
-                    at = at[at + WINDOW <= len(words)]  # other rows of this id may be longer
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, at + WINDOW, -1)
+                    at, count = np.frombuffer(b"".join(lists), np.uint32).astype(np.int64).reshape(-1, 2).T
+                    end = np.minimum(at + count + WINDOW - 1, len(words))  # other rows of this id may be longer
+                    fits = end - at >= WINDOW
+                    np.add.at(edges, at[fits], 1)
+                    np.add.at(edges, end[fits], -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "replace"))

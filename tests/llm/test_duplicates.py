@@ -14,6 +14,7 @@ from cellwise.llm import ngram_join, substring
 from cellwise.llm.cap_filters import embedding_near_dedup
 from cellwise.llm.ngram_join import band_bounds, most_different, ngram_jaccard_join, parts_of, shared_at_least, shingle_sets, signatures
 from cellwise.llm.substring import WINDOW, chosen_phrases, compile_shard, occurrences, substring_dedup, symbols, window_hashes
+from cellwise.llm.word_hashes import word_hashes
 
 SPACE = "[^\x20\x09-\x0d]+"
 
@@ -212,6 +213,43 @@ def test_substrings_in_very_long_texts(spark):
     assert got == {1: (90, 0), 2: (300_090, 90), 3: (91, 90), 4: (120_000, 0), 5: (200, 200)}
 
 
+def test_windows_go_on_once_in_runs_with_the_phrase_they_are_compared_by():
+    text = " ".join(f"t{i * i % 997}" for i in range(400)).encode()
+    signs = symbols(word_hashes([text])[0])
+    g = substring.phrase_hashes(signs)
+    p = int(chosen_phrases(signs, np.array([0, 400]))[7])
+    docs = pa.record_batch([pa.array([5]), pa.array([text.decode()]), pa.array([[signs[p : p + 8].tobytes()]], pa.list_(pa.binary()))], names=["doc_id", "text", "phrases"])
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([docs])))
+
+    (out,) = substring._windows(Rows(), 8)
+    docs_, counts, starts, one, two = (b"".join(out.column(c).to_pylist()) for c in ("docs", "counts", "starts", "hash1", "hash2"))
+    got = [k for a, n in zip(np.frombuffer(starts, np.uint32).tolist(), np.frombuffer(counts, np.uint32).tolist()) for k in range(a, a + n)]
+    assert got == [k for k in range(351) if g[k : k + 43].min() == g[p]] and 0 < len(got) < 43
+    assert len(docs_) == 8 * len(counts) // 4 == 8 and len(one) + len(two) == 12 * len(got)
+
+
+def test_substrings_shuffle_the_texts_once(spark):
+    d = spark.createDataFrame([(i, t, "x") for i, t in passages(3)] + [(None, "a " * 60, "x")], "doc_id long, text string, phrases string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substring_dedup(d)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {**brute_substrings(passages(3)), None: (60, 0, " ".join("a" * 60))}
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_of_an_id_stop_at_the_end_of_its_shorter_rows(spark):
+    words = [f"t{i}" for i in range(200)]
+    d = spark.createDataFrame([(i, " ".join(words[:n])) for i, n in ((1, 200), (9, 200), (9, 120), (9, 50), (9, 30))], "doc_id int, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(d).collect()) == [(1, 200, 0), (9, 30, 0), (9, 50, 50), (9, 120, 120), (9, 200, 200)]
+
+
 def vectors(n=700, d=16, seed=2):
     r = np.random.default_rng(seed)
     x = r.standard_normal((n, d))
